@@ -193,6 +193,23 @@ def spread(typed: str, words: tuple[str, ...]) -> list[int]:
     return out
 
 
+def distance(a: str, b: str, limit: int) -> int:
+    """Errors between two words (a swap of neighbours is one), ``limit`` + 1 if there are more."""
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, x in enumerate(b, 1):
+            v = before[j - 1] if c == x else 1 + min(before[j - 1], before[j], row[j - 1])
+            if c != x and i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == x:
+                v = min(v, older[j - 2] + 1)
+            row.append(v)
+        if min(row) > limit and (i == 1 or min(before) >= limit):
+            return limit + 1
+    return min(row[-1], limit + 1)
+
+
 def entries(names: list[tuple[str, int]]) -> list[tuple[tuple[str, ...], int]]:
     """Trie entries of (name, number): a moved form gives way to another name's own form."""
     own = {("".join(w), n): w for name, n in names for w in medianames.spellings(name)}

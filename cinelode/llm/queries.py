@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelode.llm import bpe, canonical, survivors, topn
+from cinelode.llm import bpe, canonical, survivors, topn, turns
 from cinelode.sources.tables import table
 
 
@@ -33,12 +33,24 @@ def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     return survivors.same_files(table(spark, d, "files")).select("first_id", "keep_id", "item_id", "members", "best_short_name", "best_size")
 
 
+SCRIPT = ("id", "episode_id", "show_id", "start", "end", "window", "speaker", "text", "kind", "is_group")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "utterances", *SCRIPT), table(spark, d, "bank", "show_id", "speaker", "actor"))
+
+
+def p5_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns with their cleaned text."""
+    return turns.turns(table(spark, d, "utterances", *SCRIPT), table(spark, d, "bank", "show_id", "speaker", "actor"), with_text=True)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_merged, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids)}
 
 
 P3 = """
