@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelode.llm import bpe, canonical, survivors, topn, turns
+from cinelode.llm import bpe, canonical, mixing, stuffing, survivors, topn, turns
 from cinelode.sources.tables import table
 
 
@@ -49,8 +49,28 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: every output slot with its block and the pieces of documents in it."""
+    return mixing.mix(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached by source, also where the target can't be met."""
+    return mixing.report(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.flagged(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Over all pages: the shapes, with the number of pages and pieces that have them."""
+    pages = stuffing.shapes(table(spark, d, "documents", "doc_id", "text")).select(F.explode("shapes").alias("s"))
+    return pages.groupBy("s.kind", "s.shape").agg(F.count(F.lit(1)).alias("pages"), F.sum("s.pieces").alias("pieces"), F.sum("s.chars").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids, p7_mix, p7_shares, p8_found, p8_shapes)}
 
 
 P3 = """
