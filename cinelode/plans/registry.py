@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cinelode.operators import intervals
+from cinelode.plans import base
 from cinelode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,13 +49,25 @@ SELECT episode_id, min(s) AS period_start_ms, max(e) AS period_end_ms FROM n GRO
 """
 
 
+#: Modules whose queries are registered.
+MODULES = ("library", "search", "script", "render", "align", "frames", "formats")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"cinelode.plans.{m}")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p1_found(spark, d)
+    _load()
+    return base.QUERIES["t01_m01_best_episodes"](spark, d)
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_periods": p1_periods}
+    _load()
+    return {"p1_found": p1_found, "p1_periods": p1_periods} | base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p1_periods": P1_PERIODS}
+    _load()
+    return {"p1_found": P1, "p1_periods": P1_PERIODS} | base.SQL
