@@ -43,17 +43,27 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"”’)»]?\s+|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？…][\"”’)»\]*_]*\s*$")
 _FIELDS = re.compile(r"\s+[|/»«›•·~►▸]+\s+|\s{2,}|\t+|;\s+|,\s+|\s+[-–—]\s+|[、，；｜()（）\[\]]|\s+\.{3}\s+|:\s+")
+_LINES = re.compile(r"[\r\n\u2028\u2029\x85\x0b\x0c]+")
+_STAMPED = re.compile(r"^\W*(?:\d{1,3}[.)]\s|\[?\(?\d{1,2}:\d{2}|Dialogue:)")
+_TIMED = re.compile(r"\d{1,2}:\d{2}\)?\]?$")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 
 
+# Cyrillic letters that look like Latin ones.
+_ALIKE = str.maketrans("аеорсухікмтв", "aeopcyxikmtb")
+
+#: Cheap signs without which a line can hold no link, no price.
+_LINK_SIGN = re.compile(r"://|www|(?:\.|dot\s|\.\]|\.\)|dot\]\s|dot\)\s)(?:com|net|org|info|io|tv|biz|example|test|invalid|localhost)\b", re.I)
+_DIGIT = re.compile(r"\d")
+_SEPARATORS = frozenset(":/|»-,;#*()[]")
+
+
 def fold(text: str) -> str:
     """Lower case with Cyrillic look-alikes in Latin words undone."""
+    if text.isascii():
+        return text.casefold()
     t = letters(text)
-    return t.translate(_ALIKE) if t.isascii() is False and re.search("[a-z]", t) else t
-
-
-# Cyrillic letters that look like Latin ones.
-_ALIKE = str.maketrans("аеорсухікмтв", "aeopcyxikmtb")
+    return t.translate(_ALIKE) if re.search("[a-z]", t) else t
 
 
 def bucket(n: int) -> str:
@@ -62,107 +72,131 @@ def bucket(n: int) -> str:
 
 def shape(kind: str, piece: str, words: int) -> str:
     """The shape of a piece: class, word count, capitals, digits, separators, links."""
-    letters_ = [c for c in piece if c.isalpha()]
-    upper = sum(c.isupper() for c in letters_)
-    caps = "-" if not letters_ else "all" if upper == len(letters_) else "none" if not upper else "some"
-    return "|".join([kind, bucket(words), caps, "9" if any(c.isdigit() for c in piece) else "", "".join(sorted({c for c in piece if c in ":/|»-,;#*()[]"})), "link" if kind == "link" else ""])
-
-
-def pieces(text: str) -> list[tuple[str, str]]:
-    """(first class, piece): link, tag, product, record, sentence, bare; a title beside a lone link is link."""
-    t = html.unescape(text)
-    t = _ANCHOR.sub(lambda m: "\n\x01 " + _SPACE.sub(" ", m[0]) + "\n", t)
-    t = _TAGS.sub(" ", _BREAKING.sub("\n", t))
-    out: list[list[str]] = []
+    caps = "all" if piece.isupper() else "none" if piece.islower() else "-" if piece.upper() == piece.lower() else "some"
+    return "|".join([kind, bucket(words), caps, "9" if _DIGIT.search(piece) else "", "".join(sorted(_SEPARATORS.intersection(piece))), "link" if kind == "link" else ""])
+
+
+def pieces(text: str) -> list[tuple[str, str, int]]:
+    """(first class, piece, words): link, tag, product, record, sentence, bare; a title beside a lone link is link."""
+    t = html.unescape(text) if "&" in text else text
+    if "<" in t or "[" in t:
+        t = _ANCHOR.sub(lambda m: "\n\x01 " + _SPACE.sub(" ", m[0]) + "\n", t)
+        if "<" in t:
+            t = _TAGS.sub(" ", _BREAKING.sub("\n", t))
+    out: list[list] = []
     lone: list[bool] = []
-    for line in re.split(r"[\r\n  \x85\x0b\x0c]+", t):
+
+    def put(kind: str, piece: str, n: int, alone: bool = False) -> None:
+        out.append([kind, piece, n])
+        lone.append(alone)
+
+    for line in _LINES.split(t):
         line = line.strip()
         if not line:
             continue
-        if line.startswith("\x01"):
-            out.append(["link", line[1:].strip() or "-"])
-            lone.append(False)
+        if line[0] == "\x01":
+            line = line[1:].strip() or "-"
+            put("link", line, len(_WORD.findall(line)))
             continue
-        tags = _HASHTAG.findall(line)
-        words = _WORD.findall(line)
-        if tags and 2 * sum(len(x) for x in tags) >= len(line.replace(" ", "")):
-            out.append(["tag", line])
-            lone.append(False)
+        tags = _HASHTAG.findall(line) if "#" in line or "＃" in line else ()
+        if tags and 2 * sum(map(len, tags)) >= len(line.replace(" ", "")):
+            put("tag", line, len(_WORD.findall(line)))
             continue
-        if _CLOCK.search(line) and (re.match(r"^\W*(?:\d{1,3}[.)]\s|\[?\(?\d{1,2}:\d{2}|Dialogue:)", line) or re.search(r"\d{1,2}:\d{2}\)?\]?$", line)):
-            out.append(["record", line])
-            lone.append(False)
+        digits = _DIGIT.search(line)
+        if digits and _CLOCK.search(line) and (_STAMPED.match(line) or _TIMED.search(line)):
+            put("record", line, len(_WORD.findall(line)))
             continue
-        links = _LINK.findall(line)
-        if links and not (_ENDS.search(_LINK.sub("\x02", line)) and not line.rstrip().endswith(links[-1])):
+        links = _LINK.findall(line) if _LINK_SIGN.search(line) else ()
+        if links and not (_ENDS.search(_LINK.sub("\x02", line)) and not line.endswith(links[-1])):
             rest = _LINK.sub(" ", line)
             sentences = [s for s in _SENTENCE.split(rest) if _ENDS.search(s) and len(_WORD.findall(s)) >= 4]
             if sum(map(len, sentences)) * 2 < len(line):
-                out.append(["link", line])
-                lone.append(not _WORD.search(rest))
+                put("link", line, len(_WORD.findall(line)), not _WORD.search(rest))
+                continue
+        prices = _PRICE.findall(line) if digits else ()
+        if prices:
+            n = len(_WORD.findall(line))
+            if (len(prices) >= 2 or n <= 9) and not _ENDS.search(_PRICE.sub("", line).rstrip() or "x") and 14 * len(prices) >= n:
+                put("product", line, n)
                 continue
-        prices = _PRICE.findall(line)
-        if prices and (len(prices) >= 2 or len(words) <= 9) and not _ENDS.search(_PRICE.sub("", line).rstrip() or "x") and 14 * len(prices) >= len(words):
-            out.append(["product", line])
-            lone.append(False)
-            continue
         for s in _SENTENCE.split(line):
             s = s.strip()
             if not s:
                 continue
             n = len(_WORD.findall(s))
-            is_sentence = _ENDS.search(s) and (n >= 2 or _UNSPACED.search(s)) or n >= 4 and _UNSPACED.search(s) and "。" in s
-            out.append(["sentence" if is_sentence else "bare", s])
-            lone.append(False)
+            ends = _ENDS.search(s)
+            is_sentence = ends and (n >= 2 or _UNSPACED.search(s)) or not ends and n >= 4 and "。" in s
+            put("sentence" if is_sentence else "bare", s, n)
     for i, alone in enumerate(lone):
         if alone:
             for j in (i - 1, i + 1):
-                if 0 <= j < len(out) and out[j][0] == "bare" and len(_WORD.findall(out[j][1])) <= 12:
-                    # Titles and links alternate: the title goes with its link.
-                    if j == i - 1 or i + 2 >= len(lone) or not lone[i + 2] or i == 0:
-                        out[j][0] = "link"
-    return [(k, p) for k, p in out]
+                # Titles and links alternate: the title goes with its link.
+                if 0 <= j < len(out) and out[j][0] == "bare" and out[j][2] <= 12 and (j == i - 1 or i + 2 >= len(lone) or not lone[i + 2] or i == 0):
+                    out[j][0] = "link"
+    return [(k, p, n) for k, p, n in out]
 
 
 def judged(text: str) -> list[tuple[str, str, int]]:
     """(class, shape, characters) of a page's pieces, with bare lists and stuffed sentences told apart."""
     found = pieces(text)
-    bare = [[_WORD.findall(fold(x)) for x in _FIELDS.split(p)] for k, p in found if k == "bare"]
-    words = Counter(w for p in bare for x in p for w in x if not w.isdigit())
+    listed = repeats_itself([p for k, p, _ in found if k == "bare"])
+    shares = stuffing([p for k, p, _ in found if k == "sentence"])
+    out, at = [], 0
+    for k, p, n in found:
+        if k == "sentence":
+            if shares and shares[at] > 0:
+                k = "stuffed"
+            at += 1
+        elif k == "bare":
+            k = "keyword" if listed else "title"
+        out.append((k, shape(k, p, n), len(p)))
+    return out
+
+
+def repeats_itself(bare: list[str]) -> bool:
+    """Whether the bare items of a page are keywords: many words, or whole items, come back."""
+    if not bare:
+        return False
+    fields = [x for p in bare for x in _FIELDS.split(fold(p))]
+    items = Counter(" ".join(w) for x in fields if (w := _WORD.findall(x)))
+    words: Counter[str] = Counter()
+    for x, n in items.items():
+        for w in x.split():
+            if not w.isdigit():
+                words[w] += n
     total = sum(words.values())
     back = sum(n for n in words.values() if n >= REPEATED)
-    items = Counter(" ".join(x) for p in bare for x in p if x)
     twice = sum(n * len(x.split()) for x, n in items.items() if n >= 2)
-    listed = total >= 6 and (back >= LIST_SHARE * total or twice >= LIST_SHARE * total)
-    said = [_WORD.findall(fold(p)) for k, p in found if k == "sentence"]
+    return total >= 6 and (back >= LIST_SHARE * total or twice >= LIST_SHARE * total)
+
+
+def stuffing(sentences: list[str]) -> list[float]:
+    """Share of each sentence that stuffed phrases cover; empty if the page has none to speak of.
+
+    A stuffed phrase comes twice within a sentence, in STUFFED_SENTENCES sentences or more, and all of them cover STUFFED_SHARE of the words.
+    """
+    said = [_WORD.findall(fold(p)) for p in sentences]
     hot: Counter[tuple[str, ...]] = Counter()
     for s in said:
+        if len(s) - len(set(s)) < 2:
+            continue  # a phrase can't come twice without two words that do
         for n in (2, 3):
-            grams = Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
-            hot.update({g for g, c in grams.items() if c >= 2 and len(set(g)) > 1})
+            grams = Counter(zip(*[s[i:] for i in range(n)], strict=False))
+            if len(grams) < len(s) - n + 1:
+                hot.update({g for g, c in grams.items() if c >= 2 and len(set(g)) > 1})
     phrases = {g for g, c in hot.items() if c >= STUFFED_SENTENCES}
-    stuffed: list[float] = []
-    covered = 0
+    if not phrases:
+        return []
+    shares, covered = [], 0
     for s in said:
-        on = [False] * len(s)
-        for i in range(len(s)):
-            for n in (2, 3):
-                if tuple(s[i : i + n]) in phrases:
-                    on[i : i + n] = [True] * len(s[i : i + n])
-        stuffed.append(sum(on) / max(len(s), 1))
+        on = bytearray(len(s))
+        for n in (2, 3):
+            for i, g in enumerate(zip(*[s[i:] for i in range(n)], strict=False)):
+                if g in phrases:
+                    on[i : i + n] = b"\x01" * n
+        shares.append(sum(on) / max(len(s), 1))
         covered += sum(on)
-    is_stuffed = phrases and covered >= STUFFED_SHARE * sum(map(len, said))
-    at, out = 0, []
-    for k, p in found:
-        if k == "sentence":
-            share = stuffed[at]
-            at += 1
-            if is_stuffed and share > 0:
-                k = "stuffed"
-        elif k == "bare":
-            k = "keyword" if listed else "title"
-        out.append((k, shape(k, p, len(_WORD.findall(p))), len(p)))
-    return out
+    return shares if covered >= STUFFED_SHARE * sum(map(len, said)) else []
 
 
 #: Classes that speak for a stuffed page.
