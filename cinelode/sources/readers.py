@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cinelode.functions import patterns as P
 from cinelode.functions import text as T
@@ -77,7 +78,7 @@ def srt_events(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cue_tracks(lines: DataFrame, key: str) -> DataFrame:
-    """Tracks of CUE sheets: key, file, num, title, performer, start, album_title, album_performer, date.
+    """Tracks of CUE sheets: key, file_no, file_name, num, title, performer, start, album_title, album_performer, date.
 
     The context (file and track of a line) is filled forward over the lines; tracks without a start are dropped.
     """
@@ -98,7 +99,7 @@ def cue_tracks(lines: DataFrame, key: str) -> DataFrame:
     )
     parts = F.split(T.strip(F.col("rest")), r"\s+")
     index = (F.col("word") == "INDEX") & (F.size(parts) == 2)
-    files = x.filter("word = 'FILE'").select(F.col(key).alias("__k"), F.col("file_no").alias("__f"), F.regexp_replace(F.regexp_extract("rest", r'^\s*(".*?"|\S+)', 1), '^"|"$', "").alias("file"))
+    files = x.filter("word = 'FILE'").select(F.col(key).alias("__k"), F.col("file_no").alias("__f"), F.regexp_replace(F.regexp_extract("rest", r'^\s*(".*?"|\S+)', 1), '^"|"$', "").alias("file_name"))
     tracks = x.filter("track_no > 0").groupBy(key, "file_no", "track_no").agg(
         first(F.col("word") == "TRACK", F.coalesce(F.regexp_replace(F.get(parts, 0), r"\D", "").try_cast("int"), F.lit(0))).alias("num"),
         last(F.col("word") == "TITLE", F.col("bare")).alias("title"),
@@ -106,7 +107,7 @@ def cue_tracks(lines: DataFrame, key: str) -> DataFrame:
         F.coalesce(last(index & (F.get(parts, 0) == "01"), T.cue_seconds(F.get(parts, 1))), first(index, T.cue_seconds(F.get(parts, 1)))).alias("start"),
     )
     out = tracks.filter("start is not null").join(files, (F.col(key) == F.col("__k")) & (F.col("file_no") == F.col("__f"))).join(album, key)
-    return out.select(key, "file_no", "file", "num", "title", "performer", "start", "album_title", "album_performer", "date")
+    return out.select(key, "file_no", "file_name", "num", "title", "performer", "start", "album_title", "album_performer", "date")
 
 
 def track_spans(tracks: DataFrame, key: str) -> DataFrame:
@@ -115,7 +116,7 @@ def track_spans(tracks: DataFrame, key: str) -> DataFrame:
     return tracks.withColumn("duration", F.lead("start").over(w) - F.col("start"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def any_charset(b: pd.Series) -> pd.Series:
     """Bytes as UTF-8 (with or without mark), else Windows-1251, else Latin-1; NULL stays."""
 
@@ -132,7 +133,7 @@ def any_charset(b: pd.Series) -> pd.Series:
     return b.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(s: pd.Series) -> pd.Series:
     """Unicode normal form NFKC; NULL stays."""
     import unicodedata
