@@ -91,7 +91,7 @@ def sanitize(c: Column) -> Column:
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("untitled"))
 
 
-def episode_of(name: Column, folder: Column, item: Column) -> Column:
+def episode_of(name: Column, folder: Column, item: Column, item_is_title: bool = False) -> Column:
     """Struct show, season, episode, named (the name has an SxxEyy token), of_folder; show NULL if it is no episode.
 
     Tried in order: SxxEyy, NxM, SS.EE, dashed absolute number. Without a season in the name it is that of
@@ -113,7 +113,7 @@ def episode_of(name: Column, folder: Column, item: Column) -> Column:
             which.alias("which"),
             F.when(which == 4, F.coalesce(number(own), number(of_folder), F.lit(1))).otherwise(number(pick(1))).alias("season"),
             F.when(which == 4, number(x["dash"])).otherwise(number(pick(2))).alias("episode"),
-            F.when(which.isNotNull(), F.coalesce(clean_show(prefix), clean_show(item))).alias("show"),
+            F.when(which.isNotNull(), F.coalesce(clean_show(prefix), item if item_is_title else clean_show(item))).alias("show"),
             F.coalesce((which == 4) & own.isNull() & of_folder.isNotNull(), F.lit(False)).alias("of_folder"),
         )
 

@@ -44,13 +44,14 @@ def media_files(listed: DataFrame) -> DataFrame:
 def facts(files: DataFrame) -> DataFrame:
     """Media files with all that the routing needs, from one aggregation over each item.
 
-    Per file: ``ep`` (struct of :func:`text.episode_of`), ``looks_tv``, ``stem``, ``stem_title``, ``no_tv``, ``is_release``. Per item:
+    Per file: ``item_title``, ``ep`` (struct of :func:`text.episode_of`), ``looks_tv``, ``stem``, ``stem_title``, ``no_tv``, ``is_release``. Per item:
     any_tv, videos, others (videos that are no episode), mains (distinct films). An item with any video is a video item and loses its
     audio files; otherwise it is music (``route``). Absolute numbers from a season folder are renumbered.
     """
     last, folder = F.element_at("parts", -1), F.when(F.size("parts") > 1, F.element_at("parts", -2)).otherwise(F.lit(""))
     video = F.col("cls") == "video"
-    df = files.withColumns({"ep": F.when(video, T.episode_of(last, folder, F.col("item"))), "looks_tv": F.col("name").rlike(P.TV), "stem": T.stem(last)})
+    df = files.withColumn("item_title", T.clean_show(F.col("item")))
+    df = df.withColumns({"ep": F.when(video, T.episode_of(last, folder, F.col("item_title"), item_is_title=True)), "looks_tv": F.col("name").rlike(P.TV), "stem": T.stem(last)})
     df = df.withColumns({"no_tv": video & F.col("ep.show").isNull() & ~F.col("looks_tv"), "stem_title": T.clean_show(F.col("stem"))})
     yeared = F.coalesce(F.col("stem_title").rlike(r"\((?:19|20)\d{2}\)$"), F.lit(False))
     df = df.withColumn("__film", F.col("no_tv") & (yeared | (F.coalesce("size", F.lit(0)) >= P.MAIN_FILE)))
@@ -83,57 +84,64 @@ def renumbered(df: DataFrame) -> DataFrame:
 
 
 def film_dir(df: DataFrame) -> DataFrame:
-    """``folder`` of a film file, or NULL if it is bonus material of a series and dropped."""
-    own, of_item = F.col("stem_title"), T.clean_show(F.col("item"))
+    """``folder`` of a film file; NULL for other files and for bonus material of a series, which is dropped."""
+    own, of_item = F.col("stem_title"), F.col("item_title")
     bonus = (F.col("videos") > 1) & ((F.size("parts") > 1) | F.col("stem").rlike(P.EXTRAS) | F.col("stem").rlike(r"(?i)\bnc(?:op|ed)"))
-    df = df.withColumn("__of_item", of_item)
-    chosen = F.when((F.col("mains") > 1) | F.col("any_tv") | ~bonus, F.coalesce(own, "__of_item", "item")).otherwise(F.coalesce("__of_item", "item"))
     yeared = lambda c: F.coalesce(c.rlike(r"\((?:19|20)\d{2}\)$"), F.lit(False))
-    better = T.let(chosen, lambda c: F.when(~yeared(c) & yeared(F.col("__of_item")), F.col("__of_item")).otherwise(c))
-    return df.withColumn("folder", F.when(F.col("any_tv") & ~F.col("is_release"), None).otherwise(T.sanitize(better))).drop("__of_item")
+
+    def chosen(of: Column) -> Column:
+        first = F.when((F.col("mains") > 1) | F.col("any_tv") | ~bonus, F.coalesce(own, of, "item")).otherwise(F.coalesce(of, "item"))
+        return T.let(first, lambda c: F.when(~yeared(c) & yeared(of), of).otherwise(c))
+
+    dropped = ~F.col("no_tv") | (F.col("any_tv") & ~F.col("is_release"))
+    return df.withColumn("folder", F.when(~dropped, T.sanitize(T.let(of_item, chosen))))
 
 
 def music_dirs(df: DataFrame) -> DataFrame:
-    """``artist``, ``album`` and ``discs`` of an audio file; the deepest named folder is the album."""
+    """``artist``, ``album``, ``discs`` and ``is_music`` of an audio file; the deepest named folder is the album. NULL for other files."""
     dirs = F.filter(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda p: ~F.lower(p).isin(*P.MUSIC_JUNK_DIRS))
-    df = df.withColumns({"__item": T.artist_album(F.col("item")), "__named": F.get(F.reverse(F.filter(dirs, lambda p: ~p.rlike(P.DISC_DIR))), 0), "__discs": F.transform(F.filter(dirs, lambda p: p.rlike(P.DISC_DIR)), lambda p: F.format_string("CD %02d", F.regexp_extract(p, P.DISC_DIR, 1).cast("int")))})
-    df = df.withColumn("__sub", T.artist_album(F.col("__named")))
-    sub = F.col("__sub.album").isNotNull()
-    artist = F.when(sub, F.coalesce("__sub.artist", "__item.artist")).otherwise(F.col("__item.artist"))
-    album = F.coalesce(F.when(sub, F.col("__sub.album")), F.col("__item.album"))
-    year = F.when(sub, F.col("__sub.year")).otherwise(F.col("__item.year"))
-    whole = T.album_dir(F.coalesce(album, "item"), year)
-    return (
-        df.filter(F.coalesce(artist, album).isNotNull())
-        .withColumns({"artist": T.sanitize(F.coalesce(artist, album, "item")), "album": T.sanitize(whole), "discs": F.col("__discs")})
-        .drop("__item", "__named", "__discs", "__sub")
-    )
+    named = F.get(F.reverse(F.filter(dirs, lambda p: ~p.rlike(P.DISC_DIR))), 0)
+    discs = F.transform(F.filter(dirs, lambda p: p.rlike(P.DISC_DIR)), lambda p: F.format_string("CD %02d", F.regexp_extract(p, P.DISC_DIR, 1).cast("int")))
+
+    def chosen(x: Column) -> Column:
+        sub = x["sub"]["album"].isNotNull()
+        artist = F.when(sub, F.coalesce(x["sub"]["artist"], x["item"]["artist"])).otherwise(x["item"]["artist"])
+        album = F.when(sub, x["sub"]["album"]).otherwise(x["item"]["album"])
+        year = F.when(sub, x["sub"]["year"]).otherwise(x["item"]["year"])
+        whole = T.album_dir(F.coalesce(album, F.col("item")), year)
+        return F.struct(T.sanitize(F.coalesce(artist, album, F.col("item"))).alias("artist"), T.sanitize(whole).alias("album"), F.coalesce(artist, album).isNotNull().alias("fine"))
+
+    both = F.struct(T.artist_album(F.col("item")).alias("item"), T.artist_album(named).alias("sub"))
+    m = F.when(F.col("route") == "music", T.let(both, chosen))
+    df = df.withColumns({"__m": m, "discs": discs})
+    return df.withColumns({"artist": F.col("__m.artist"), "album": F.col("__m.album"), "is_music": F.coalesce("__m.fine", F.lit(False))}).drop("__m")
 
 
 def wanted(listed: DataFrame) -> DataFrame:
-    """Entries of the library: dest (tv, movies, music), folder, path, id, kind, item_id, file, score.
+    """Entries of the library: dest (tv, movies, music), folder, rest, path, id, kind, item_id, name, lossy, kind_ord.
 
-    First-wins order among sources of one path is (kind, item_id, id), lossless audio first.
+    Every file goes its way by conditions on its own row, so the plan is one line from the scan to the result: no
+    branch reads or shuffles the listing again. First-wins order among sources of one path is (kind, item_id, id), lossless audio first.
     """
-    files = facts(media_files(listed))
-    videos = files.filter("route = 'video'")
-    file_name = F.when(F.col("ep.named"), F.element_at("parts", -1)).otherwise(
-        F.concat(F.format_string("S%02dE%02d - ", F.col("ep.season"), F.col("ep.episode")), T.friendly_name(F.element_at("parts", -1)))
-    )
-    folder_season = F.regexp_extract(F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/"), P.SEASON_FOLDER, 1)
-    inner = F.when(folder_season != "", F.concat_ws("/", F.format_string("Season %02d", folder_season.try_cast("int")), F.element_at("parts", -1))).otherwise(F.array_join("parts", "/"))
-    tv = videos.filter("ep.show is not null").select(
-        F.lit("tv").alias("dest"), T.sanitize(F.col("ep.show")).alias("folder"), F.concat_ws("/", F.format_string("Season %02d", "ep.season"), file_name).alias("rest"), "kind", "item_id", "id", "name", F.lit(0).alias("lossy")
-    )
-    loose = videos.filter("ep.show is null and looks_tv").select(F.lit("tv").alias("dest"), T.sanitize(F.coalesce(T.clean_show(F.col("item")), "item")).alias("folder"), inner.alias("rest"), "kind", "item_id", "id", "name", F.lit(0).alias("lossy"))
-    films = film_dir(videos.filter("no_tv")).filter("folder is not null").select(
-        F.lit("movies").alias("dest"), "folder", F.when(F.col("is_release"), F.element_at("parts", -1)).otherwise(F.concat(F.lit("Featurettes/"), F.element_at("parts", -1))).alias("rest"), "kind", "item_id", "id", "name", F.lit(0).alias("lossy")
-    )
-    music = music_dirs(files.filter("route = 'music'")).select(
-        F.lit("music").alias("dest"), F.concat_ws("/", "artist", "album").alias("folder"), F.concat_ws("/", "discs", T.stem(F.element_at("parts", -1))).alias("rest"), "kind", "item_id", "id", "name", (~F.col("ext").isin(*P.LOSSLESS_EXT)).cast("int").alias("lossy")
-    )
-    rows = tv.unionByName(loose).unionByName(films).unionByName(music)
-    return rows.withColumns({"kind_ord": F.when(F.col("kind") == "torrents", 0).when(F.col("kind") == "usenet", 1).otherwise(2), "path": F.concat_ws("/", "folder", "rest")})
+    files = film_dir(facts(media_files(listed)))
+    files = music_dirs(files)
+    last = F.element_at("parts", -1)
+    episode, loose, film = F.col("ep.show").isNotNull(), F.col("looks_tv") & F.col("ep.show").isNull(), F.col("no_tv")
+    video = F.col("route") == "video"
+    dest = F.when(~video, "music").when(film, "movies").otherwise("tv")
+    folder = F.when(~video, F.concat_ws("/", "artist", "album")).when(film, F.col("folder")).when(episode, T.sanitize(F.col("ep.show"))).otherwise(T.sanitize(F.coalesce("item_title", "item")))
+    numbered = F.concat(F.format_string("S%02dE%02d - ", F.col("ep.season"), F.col("ep.episode")), T.friendly_name(last))
+    episode_rest = F.concat_ws("/", F.format_string("Season %02d", "ep.season"), F.when(F.col("ep.named"), last).otherwise(numbered))
+    above = F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/")
+    season_dir = F.nullif(F.regexp_extract(above, P.SEASON_FOLDER, 1), F.lit("")).try_cast("int")
+    loose_rest = F.when(season_dir.isNotNull(), F.concat_ws("/", F.format_string("Season %02d", season_dir), last)).otherwise(F.array_join("parts", "/"))
+    film_rest = F.when(F.col("is_release"), last).otherwise(F.concat(F.lit("Featurettes/"), last))
+    music_rest = F.concat_ws("/", "discs", T.stem(last))
+    rest = F.when(~video, music_rest).when(film, film_rest).when(loose, loose_rest).otherwise(episode_rest)
+    kept = F.when(~video, F.col("is_music")).when(film, F.col("folder").isNotNull()).otherwise(True)
+    kind_ord = F.when(F.col("kind") == "torrents", 0).when(F.col("kind") == "usenet", 1).otherwise(2)
+    rows = files.filter(kept).select(dest.alias("dest"), folder.alias("folder"), rest.alias("rest"), "kind", "item_id", "id", "name", F.when(video, 0).otherwise((~F.col("ext").isin(*P.LOSSLESS_EXT)).cast("int")).alias("lossy"), kind_ord.alias("kind_ord"))
+    return rows.withColumn("path", F.concat_ws("/", "folder", "rest"))
 
 
 def first_source(rows: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ MUSIC_DIRS = stages(
 
 @query(f"{BASE} SELECT id, artist, album, array_to_string(discs, '/') AS discs FROM ({MUSIC_DIRS}) WHERE coalesce(artist0, album0) IS NOT NULL")
 def f08_music_dirs(spark: SparkSession, d: str) -> DataFrame:
-    df = L.music_dirs(L.facts(L.media_files(V.listed(spark, d))).filter("route = 'music'"))
+    df = L.music_dirs(L.facts(L.media_files(V.listed(spark, d)))).filter("is_music")
     return df.select("id", "artist", "album", F.array_join("discs", "/").alias("discs"))
 
 
