@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelode.functions import patterns as P
 from cinelode.functions import text as T
+from cinelode.operators import casting
 from cinelode.operators import script as O
 from cinelode.plans import views as V
 from cinelode.plans.base import query, quoted
@@ -266,3 +267,17 @@ def j16_spoken_names(spark: SparkSession, d: str) -> DataFrame:
     # Both words share their first four letters if one is a prefix of the other, so these are the join key.
     meets = (F.col("episode_id") == F.col("e")) & (F.substring("word", 1, 4) == F.substring("part", 1, 4)) & (F.col("word").startswith(F.col("part")) | F.col("part").startswith(F.col("word")))
     return part.join(said, meets, "left_semi").select("episode_id", "speaker").distinct()
+
+
+@query()
+def j15_member_voices(spark: SparkSession, d: str) -> DataFrame:
+    """Voices of the members that a group's label names."""
+    labels = speech(spark, d).filter("is_group and speaker is not null").select("show_id", F.col("speaker").alias("label")).distinct()
+    v = casting.member_voices(labels, table(spark, d, "bank", "show_id", "speaker"))
+    return v.select("show_id", "label", F.array_join("voices", "|").alias("voices"))
+
+
+@query()
+def f17_speakable(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in compatible form with respelt words."""
+    return casting.speakable(speech(spark, d).select("id", "text"), "text", {"harbour": "har-ber", "clerk": "clark"})
