@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cinelode.llm.medianames import letters
 
 #: Share of a page's characters that its main non-sentence shapes must hold, and how many shapes may count.
-SHARE = 0.5
+SHARE = 0.4
 SHAPES = 12
 #: A bare list is keywords if this share of its words comes back (REPEATED times or more), or so few of its words are distinct.
 LIST_SHARE = 0.27
@@ -43,6 +43,7 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"”’)»]?\s+|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？…][\"”’)»\]*_]*\s*$")
 _FIELDS = re.compile(r"\s+[|/»«›•·~►▸]+\s+|\s{2,}|\t+|;\s+|,\s+|\s+[-–—]\s+|[、，；｜()（）\[\]]|\s+\.{3}\s+|:\s+")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _LINES = re.compile(r"[\r\n\u2028\u2029\x85\x0b\x0c]+")
 _STAMPED = re.compile(r"^\W*(?:\d{1,3}[.)]\s|\[?\(?\d{1,2}:\d{2}|Dialogue:)")
 _TIMED = re.compile(r"\d{1,2}:\d{2}\)?\]?$")
@@ -79,6 +80,8 @@ def shape(kind: str, piece: str, words: int) -> str:
 def pieces(text: str) -> list[tuple[str, str, int]]:
     """(first class, piece, words): link, tag, product, record, sentence, bare; a title beside a lone link is link."""
     t = html.unescape(text) if "&" in text else text
+    if not t.isascii():
+        t = _INVISIBLE.sub("", t)
     if "<" in t or "[" in t:
         t = _ANCHOR.sub(lambda m: "\n\x01 " + _SPACE.sub(" ", m[0]) + "\n", t)
         if "<" in t:
