@@ -61,3 +61,9 @@ def mask(spans: DataFrame, key: str, head: str, tail: str, ramp: int) -> DataFra
     near = F.least(F.col("frame") - F.col(head), F.col(tail) - 1 - F.col("frame"))
     weight = F.when(near < edge, near * step).otherwise(1.0)
     return f.groupBy(key, "frame").agg(F.max(weight).alias("weight"))
+
+
+def passable(frames: DataFrame, key: str, ratio: str = "ratio", least: float = 3.0) -> DataFrame:
+    """Frames whose ratio reaches the larger of ``least`` and the key's median; all frames of a key where none does."""
+    mid = frames.groupBy(F.col(key).alias("__k")).agg(F.greatest(F.lit(least), F.median(ratio)).alias("__m"), F.max(ratio).alias("__top"))
+    return frames.join(mid, F.col(key) == F.col("__k")).filter((F.col(ratio) >= F.col("__m")) | (F.col("__top") < F.col("__m"))).drop("__k", "__m", "__top")

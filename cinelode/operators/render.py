@@ -91,3 +91,9 @@ def moved(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("gener
     old = before.select(F.col("id").alias("__id"), *[F.col(f).alias(f"__{f}") for f in fields])
     apart = F.greatest(*[F.abs(F.col(f) - F.col(f"__{f}")) for f in fields])
     return after.join(old, F.col("id") == F.col("__id")).withColumn("apart", apart).filter(F.col("apart") > tolerance).select("id", "apart")
+
+
+def placed(lines: DataFrame, pans: DataFrame) -> DataFrame:
+    """Lines with the ``pan`` resolved for their case and speaker; NULL (the centre) where none is. pans: episode_id, overdub, speaker, pan."""
+    p = pans.select(F.col("episode_id").alias("__e"), F.col("overdub").alias("__o"), F.col("speaker").alias("__s"), "pan")
+    return lines.join(p, (F.col("episode_id") == F.col("__e")) & (F.col("overdub") == F.col("__o")) & (F.col("speaker") == F.col("__s")), "left").drop("__e", "__o", "__s")

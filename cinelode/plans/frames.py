@@ -118,11 +118,11 @@ def a18_bands(spark: SparkSession, d: str) -> DataFrame:
 W13 = f"""{ACTIVE.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (
   SELECT chunk, frame, CAST(CASE WHEN is_on THEN 0.3 ELSE 1.0 END + (1.0 - CASE WHEN is_on THEN 0.3 ELSE 1.0 END) * CASE WHEN is_on THEN 0.7 ELSE 0.95 END AS DOUBLE) AS gain FROM a WHERE frame = 0
   UNION ALL SELECT a.chunk, a.frame, CASE WHEN is_on THEN 0.3 ELSE 1.0 END + (d.gain - CASE WHEN is_on THEN 0.3 ELSE 1.0 END) * CASE WHEN CASE WHEN is_on THEN 0.3 ELSE 1.0 END < d.gain THEN 0.7 ELSE 0.95 END FROM d JOIN a ON a.chunk = d.chunk AND a.frame = d.frame + 1)
-SELECT chunk, frame, round(gain, 5) AS gain FROM d"""
+SELECT chunk, frame, round(gain + 1e-9, 5) AS gain FROM d"""
 
 
 @query(W13)
 def w13_duck(spark: SparkSession, d: str) -> DataFrame:
     """Duck envelope: quick down, slow up."""
     a = O.active(levels(spark, d), "chunk", 0.6).select(F.col("chunk").alias("episode_id"), F.col("frame").cast("long").alias("frame"), F.col("on").alias("speaking"))
-    return R.ducked(a, 0.3, 0.7, 0.95).select(F.col("episode_id").alias("chunk"), "frame", F.round("gain", 5).alias("gain"))
+    return R.ducked(a, 0.3, 0.7, 0.95).select(F.col("episode_id").alias("chunk"), "frame", F.round(F.col("gain") + 1e-9, 5).alias("gain"))

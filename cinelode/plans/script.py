@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelode.functions import patterns as P
 from cinelode.functions import text as T
-from cinelode.operators import casting
+from cinelode.operators import casting, render
 from cinelode.operators import script as O
 from cinelode.plans import views as V
 from cinelode.plans.base import query, quoted
@@ -281,3 +281,11 @@ def j15_member_voices(spark: SparkSession, d: str) -> DataFrame:
 def f17_speakable(spark: SparkSession, d: str) -> DataFrame:
     """Lines in compatible form with respelt words."""
     return casting.speakable(speech(spark, d).select("id", "text"), "text", {"harbour": "har-ber", "clerk": "clark"})
+
+
+@query()
+def j21_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of overlap cases with the place resolved for their speaker."""
+    s = speech(spark, d)
+    inside = s.join(O.overlap_cases(s).select("id", "overdub"), "id")
+    return render.placed(inside, O.conflict_pans(inside)).select("id", "overdub", "speaker", "pan")

@@ -23,6 +23,12 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def with_link(releases: DataFrame) -> DataFrame:
+    """Search results that have a magnet or a download link ('' counts as none)."""
+    link = F.coalesce(F.nullif("magnetUrl", F.lit("")), F.nullif("downloadUrl", F.lit("")))
+    return releases.withColumn("link", link).filter(F.col("link").isNotNull())
+
+
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, line): the lines of each text with ordinals from 0; NULL texts have none."""
     return df.select(key, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("n", "line"))

@@ -61,3 +61,15 @@ def test_cache_and_names(spark):
     assert [tuple(r.c) for r in n.collect()] == [(12, "otter", "some-words", 3), (None, None, None, None)]
     s = spark.createDataFrame([("OTTER:: Hi there",), ("plain",)], "l string").select(W.spoken_line(F.col("l")).alias("s"))
     assert [tuple(r.s) for r in s.collect()] == [("OTTER", "Hi there"), (None, "plain")]
+
+
+def test_small_lookups(spark):
+    from cinelode.operators import frames, render
+
+    r = spark.createDataFrame([("a", "", "u"), ("b", "m", None), ("c", None, "")], "title string, magnetUrl string, downloadUrl string")
+    assert sorted((x.title, x.link) for x in R.with_link(r).collect()) == [("a", "u"), ("b", "m")]
+    f = spark.createDataFrame([(1, 0, 2.0), (1, 1, 9.0), (1, 2, 4.0), (2, 0, 1.0)], "k int, frame int, ratio double")
+    assert sorted((x.k, x.frame) for x in frames.passable(f, "k").collect()) == [(1, 1), (1, 2), (2, 0)]
+    lines = spark.createDataFrame([(1, 1, 0, "A"), (2, 1, 0, "B"), (3, 1, None, "A")], "id int, episode_id int, overdub int, speaker string")
+    pans = spark.createDataFrame([(1, 0, "A", -0.6)], "episode_id int, overdub int, speaker string, pan double")
+    assert sorted((x.id, x.pan) for x in render.placed(lines, pans).collect()) == [(1, -0.6), (2, None), (3, None)]
