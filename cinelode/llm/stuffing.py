@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelode.llm.medianames import letters
-
 #: Share of a page's characters that its main non-sentence shapes must hold, and how many shapes may count.
 SHARE = 0.4
 SHAPES = 12
@@ -43,6 +42,7 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"”’)»]?\s+|(?<=[。！？])")
 _ENDS = re.compile(r"[.!?。！？…][\"”’)»\]*_]*\s*$")
 _FIELDS = re.compile(r"\s+[|/»«›•·~►▸]+\s+|\s{2,}|\t+|;\s+|,\s+|\s+[-–—]\s+|[、，；｜()（）\[\]]|\s+\.{3}\s+|:\s+")
+_LATIN = re.compile("[a-z]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _LINES = re.compile(r"[\r\n\u2028\u2029\x85\x0b\x0c]+")
 _STAMPED = re.compile(r"^\W*(?:\d{1,3}[.)]\s|\[?\(?\d{1,2}:\d{2}|Dialogue:)")
@@ -63,8 +63,8 @@ def fold(text: str) -> str:
     """Lower case with Cyrillic look-alikes in Latin words undone."""
     if text.isascii():
         return text.casefold()
-    t = letters(text)
-    return t.translate(_ALIKE) if re.search("[a-z]", t) else t
+    t = unicodedata.normalize("NFKC", text).casefold()
+    return t.translate(_ALIKE) if _LATIN.search(t) else t
 
 
 def bucket(n: int) -> str:
@@ -72,7 +72,9 @@ def bucket(n: int) -> str:
 
 
 def shape(kind: str, piece: str, words: int) -> str:
-    """The shape of a piece: class, word count, capitals, digits, separators, links."""
+    """The shape of a piece: class and word count, and unless it is a sentence capitals, digits, separators and links."""
+    if kind == "sentence":
+        return f"sentence|{bucket(words)}"
     caps = "all" if piece.isupper() else "none" if piece.islower() else "-" if piece.upper() == piece.lower() else "some"
     return "|".join([kind, bucket(words), caps, "9" if _DIGIT.search(piece) else "", "".join(sorted(_SEPARATORS.intersection(piece))), "link" if kind == "link" else ""])
 
@@ -183,10 +185,11 @@ def stuffing(sentences: list[str]) -> list[float]:
     for s in said:
         if len(s) - len(set(s)) < 2:
             continue  # a phrase can't come twice without two words that do
-        for n in (2, 3):
-            grams = Counter(zip(*[s[i:] for i in range(n)], strict=False))
-            if len(grams) < len(s) - n + 1:
-                hot.update({g for g, c in grams.items() if c >= 2 and len(set(g)) > 1})
+        pairs = list(zip(s, s[1:], strict=False))
+        if len(set(pairs)) == len(pairs):
+            continue
+        for grams in (Counter(pairs), Counter(zip(s, s[1:], s[2:], strict=False))):
+            hot.update({g for g, c in grams.items() if c >= 2 and len(set(g)) > 1})
     phrases = {g for g, c in hot.items() if c >= STUFFED_SENTENCES}
     if not phrases:
         return []
