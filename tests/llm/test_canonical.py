@@ -94,3 +94,8 @@ def test_table(spark):
     assert {(r.id, r.show_id) for r in canonical.match(files, seasons).collect()} == {(1, 3), (2, 0), (3, 0), (4, 0)}
     assert canonical.match(files.limit(0), seasons).count() == 0
     assert {r.show_id for r in canonical.match(files, seasons.limit(0)).collect()} == {0}
+
+
+@pytest.mark.xfail(reason="a word of another title, three errors away in seven letters, is only told apart if the list has that word", strict=True)
+def test_known_limit_of_an_unlisted_word():
+    assert canonical.Reference([s for s in SHOWS if s[1] != 7]).nearest("Salted Telescope")[0] == 0
