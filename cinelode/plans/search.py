@@ -109,7 +109,7 @@ PLAUSIBLE = f"{REL}, p AS (SELECT id, x_album, x_year, size, seeders, lower(rege
 
 
 def _plausible(spark: SparkSession, d: str) -> DataFrame:
-    r = V.releases(spark, d).filter("id % 2 = 0").withColumn("a", T.artist_album(F.col("title")))
+    r = V.releases(spark, d).withColumn("a", T.artist_album(F.col("title")))
     artist, album, year = F.col("a.artist"), F.col("a.album"), F.col("a.year")
     fine = ~F.col("title").rlike(r"\.\.\.\s*$") & album.isNotNull() & ~F.coalesce(artist, F.lit("")).rlike(r"(?i)^(?:va|various)\b") & (F.col("seeders") > 0) & ~(year.isNull() & (F.length(album) <= 6))
     return r.filter(fine).select("id", album.alias("album"), year.alias("yr"), "size", "seeders", T.word_key(album).alias("key"))
