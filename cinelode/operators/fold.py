@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,3 +37,28 @@ def stream_groups(df: DataFrame, keys: list[str], order: list[str], solve: Calla
             yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def stream_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple | None], schema: str) -> DataFrame:
+    """Apply ``step`` to a state made by ``start`` and each row (tuple in the order of ``df.columns``) of a group, sorted by ``order``; it gives a result row or None.
+
+    Like :func:`stream_groups`, but only the state of one group is held, not its rows. NULL keys make a group.
+    """
+    columns = df.columns
+    at = [columns.index(k) for k in keys]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c] for c in columns], strict=True):
+                k = tuple(None if row[i] != row[i] else row[i] for i in at)  # NULL may come as NaN, which equals nothing
+                if state is None or k != key:
+                    key, state = k, start()
+                if (made := step(state, row)) is not None:
+                    out.append(made)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

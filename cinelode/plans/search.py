@@ -112,7 +112,7 @@ def _plausible(spark: SparkSession, d: str) -> DataFrame:
     r = V.releases(spark, d).withColumn("a", T.artist_album(F.col("title")))
     artist, album, year = F.col("a.artist"), F.col("a.album"), F.col("a.year")
     fine = ~F.col("title").rlike(r"\.\.\.\s*$") & album.isNotNull() & ~F.coalesce(artist, F.lit("")).rlike(r"(?i)^(?:va|various)\b") & (F.col("seeders") > 0) & ~(year.isNull() & (F.length(album) <= 6))
-    return r.filter(fine).select("id", album.alias("album"), year.alias("yr"), "size", "seeders", T.word_key(album).alias("key"))
+    return r.filter(fine).select("id", artist.alias("artist"), album.alias("album"), year.alias("yr"), "size", "seeders", T.word_key(album).alias("key"))
 
 
 @query(f"{PLAUSIBLE} SELECT id, x_album AS album, x_year AS yr FROM p")
@@ -123,32 +123,28 @@ def p12_plausible_albums(spark: SparkSession, d: str) -> DataFrame:
 def greedy_suffixes(rows: DataFrame, group: str, key: str, order: list[str], least: int = 8) -> DataFrame:
     """Rows kept by a greedy pass in ``order``: not if the key ends in, or is the end of, one already kept (8 letters or more).
 
-    Kept keys of a group are held in a set of all their suffixes, so a row costs its length. Groups stream through sorted partitions.
+    Kept keys of a group are held in a set of all their suffixes, so a row costs its length. Groups stream through sorted partitions; their rows aren't held.
     """
-    from cinelode.operators.fold import stream_groups
+    from cinelode.operators.fold import stream_fold
 
     cols = list(dict.fromkeys([group, *order, key, "id"]))
     at, ident = cols.index(key), cols.index("id")
 
-    def solve(rs: list[tuple]) -> list[tuple]:
-        whole: set[str] = set()
-        ends: set[str] = set()
-        out = []
-        for r in rs:
-            k = r[at]
-            if not k or k in whole:
-                continue
-            own = {k[i:] for i in range(len(k) - least + 1)}
-            if own & whole or (len(k) >= least and k in ends):
-                continue
-            whole.add(k)
-            ends |= own
-            out.append((r[0], r[ident], k))
-        return out
+    def step(state: tuple[set[str], set[str]], r: tuple) -> tuple | None:
+        whole, ends = state
+        k = r[at]
+        if not k or k in whole:
+            return None
+        own = {k[i:] for i in range(len(k) - least + 1)}
+        if own & whole or (len(k) >= least and k in ends):
+            return None
+        whole.add(k)
+        ends |= own
+        return r[0], r[ident], k
 
     kinds = dict(rows.dtypes)
     # A short kept key is never matched by its end, as the shorter one must have 8 letters.
-    return stream_groups(rows.select(*cols), [group], order, solve, f"{group} {kinds[group]}, id bigint, {key} string")
+    return stream_fold(rows.select(*cols), [group], order, lambda: (set(), set()), step, f"{group} {kinds[group]}, id bigint, {key} string")
 
 
 W16 = f"""{PLAUSIBLE.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT id % 50 AS grp, id, key, row_number() OVER (PARTITION BY id % 50 ORDER BY -seeders, id) AS n FROM p WHERE key <> ''),
@@ -163,8 +159,11 @@ SELECT grp, id FROM g WHERE took"""
 
 @query(W16)
 def w16_greedy_albums(spark: SparkSession, d: str) -> DataFrame:
-    """Albums without those whose name ends in a better one's; fifty groups stand for artists."""
-    p = _plausible(spark, d).filter("key <> ''").withColumns({"grp": F.col("id") % 50, "rank": -F.col("seeders")})
+    """Albums of an artist without those whose name ends in a better one's.
+
+    ``grp`` is the artist's normalised name, as a search compares it; albums that name no artist are one group, NULL.
+    """
+    p = _plausible(spark, d).filter("key <> ''").withColumns({"grp": F.when(F.col("artist").isNotNull(), T.word_key(F.col("artist"))), "rank": -F.col("seeders")})
     return greedy_suffixes(p, "grp", "key", ["rank", "id"]).select("grp", "id")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cinelode.plans import registry
+from cinelode.plans import registry, search
 from helpers import duck_rows, rows
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -39,3 +39,35 @@ def test_plausible_albums_of_odd_ids(spark, albums):
     got = rows(QUERIES["p12_plausible_albums"](spark, d))
     assert got == duck_rows(c, without(SQL["p12_plausible_albums"], " WHERE id % 2 = 0"))
     assert {r[1] for r in got[1]} == {3, 4, 55, 8, 107}
+
+
+def kept_albums(found):
+    """By pairs: the ids kept of (artist, key, seeders, id), best first within an artist."""
+    kept = []
+    for artist, key, _, ident in sorted(found, key=lambda r: (-r[2], r[3])):
+        same = [k for a, k, _ in kept if a == artist]
+        if key and not any(k == key or min(len(k), len(key)) >= 8 and (k.endswith(key) or key.endswith(k)) for k in same):
+            kept.append((artist, key, ident))
+    return [(ident, artist) for artist, _, ident in kept]
+
+
+def test_greedy_albums_by_artist(spark, albums):
+    got = QUERIES["w16_greedy_albums"](spark, albums[0]).collect()
+    assert sorted((r.id, r.grp) for r in got) == [(4, "annlee"), (55, "boray"), (107, None)]
+
+
+def test_greedy_albums_against_pairs(spark, data):
+    found = [(r.grp, r.key, r.seeders, r.id) for r in search._plausible(spark, data).selectExpr("lower(regexp_replace(artist, r'[^\\p{L}\\p{N}_]+', '')) grp", "key", "seeders", "id").collect()]
+    got = sorted(((r.id, r.grp) for r in QUERIES["w16_greedy_albums"](spark, data).collect()), key=repr)
+    assert len({grp for grp, *_ in found}) > 1 and got == sorted(kept_albums(found), key=repr)
+
+
+def test_fold_keeps_no_rows_and_groups_nulls(spark):
+    """A group of many batches, its key NULL, is one group with one state."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).selectExpr("cast(null as bigint) g", "id", "concat('sameoldalbum', id % 3) key").unionByName(spark.createDataFrame([(1, 500, "sameoldalbum0")], "g bigint, id bigint, key string"))
+        got = {(r.g, r.id) for r in search.greedy_suffixes(df, "g", "key", ["id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {i for _, i in got} == {0, 1, 2, 500}
