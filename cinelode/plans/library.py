@@ -300,7 +300,7 @@ def t02_best_films(spark: SparkSession, d: str) -> DataFrame:
     return L.best_films(L.wanted(V.listed(spark, d))).select("folder", "id", "score")
 
 
-# The tables list no images, so every fifth file stands for one, with its size brought into the range of covers.
+# The tables list no images, so every file stands for one, with a name made for it and its size brought into the range of covers.
 COVER_NAMES_CASE = "CASE " + " ".join(f"WHEN contains(s, '{n}') THEN {i}" for i, n in enumerate(P.COVER_NAMES)) + f" ELSE {len(P.COVER_NAMES)} END"
 T05 = f"""WITH f AS (SELECT DISTINCT id, item_id, CASE id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'scan back' ELSE 'page' END || id % 4 || '.jpg' AS nm, size % 30000000 AS size FROM files WHERE id % 5 = 0),
 s AS (SELECT *, {stem('nm')} AS s FROM f WHERE size > {P.COVER_MIN} AND size < {P.COVER_MAX}),
@@ -310,8 +310,8 @@ SELECT item_id, id, CAST(rnk AS INTEGER) AS rnk, size FROM (SELECT *, row_number
 
 @query(T05)
 def t05_p26_covers(spark: SparkSession, d: str) -> DataFrame:
-    """Cover pick; every fifth file is taken as an image here, as the tables list none."""
-    f = table(spark, d, "files", "id", "item_id", "size").dropDuplicates().filter("id % 5 = 0")
+    """Cover pick; every file is taken as an image here, under a made name, as the tables list none."""
+    f = table(spark, d, "files", "id", "item_id", "size").dropDuplicates()
     kind = F.when(F.col("id") % 3 == 0, "front").when(F.col("id") % 3 == 1, "scan back").otherwise("page")
     f = f.select("id", "item_id", F.concat(kind, (F.col("id") % 4).cast("string"), F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("short_name"), (F.col("size") % 30_000_000).alias("size"))
     return L.covers(f).select("item_id", "id", F.col("rank").alias("rnk"), "size")

@@ -213,8 +213,9 @@ def r04_union_of_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{REL}, a AS (SELECT id, title FROM releases WHERE id % 5 = 0), b AS (SELECT id, title FROM releases WHERE id % 5 = 1) SELECT id, title, 'pending' AS src FROM a UNION ALL SELECT id, title, 'new' FROM b WHERE title NOT IN (SELECT title FROM a)")
 def r05_pending_and_new(spark: SparkSession, d: str) -> DataFrame:
+    """Pending releases and the new ones by title; every fifth stands for a pending one, all others are search results."""
     r = V.releases(spark, d).select("id", "title")
-    a, b = r.filter("id % 5 = 0"), r.filter("id % 5 = 1")
+    a, b = r.filter("id % 5 = 0"), r.filter("id % 5 <> 0")
     return a.withColumn("src", F.lit("pending")).unionByName(b.join(a.select("title").distinct(), "title", "left_anti").withColumn("src", F.lit("new")))
 
 

@@ -71,3 +71,18 @@ def test_fold_keeps_no_rows_and_groups_nulls(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {i for _, i in got} == {0, 1, 2, 500}
+
+
+def test_pending_and_new_hold_every_release(spark, tmp_path):
+    d, c = tables(tmp_path, files="select i::bigint as id, case when i in (5, 7) then 'same.mkv' else 'release ' || i || '.mkv' end as name, 1::bigint as size from range(1, 21) t(i)")
+    got = rows(QUERIES["r05_pending_and_new"](spark, d))
+    assert got == duck_rows(c, SQL["r05_pending_and_new"].replace("id % 5 = 1", "id % 5 <> 0"))
+    assert {r[0] for r in got[1]} == set(range(1, 21)) - {7}
+
+
+def test_covers_of_all_files(spark, tmp_path):
+    """Items whose ids of files don't divide by 5 have covers too, and a better one among them wins."""
+    d, c = tables(tmp_path, files="select i::bigint as id, (i % 4)::bigint as item_id, 'x.mkv' as name, (1000000 + 1000 * i)::bigint as size from range(1, 30) t(i) where i % 5 > 0 or i % 4 = 0")
+    got = rows(QUERIES["t05_p26_covers"](spark, d))
+    assert got == duck_rows(c, without(SQL["t05_p26_covers"], " WHERE id % 5 = 0"))
+    assert {r[1] for r in got[1]} == {0, 1, 2, 3}
