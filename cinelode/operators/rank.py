@@ -40,3 +40,23 @@ def queue_take(queue: DataFrame, held: DataFrame, key: str, order: str, slots: i
     waiting = queue.join(held.select(key).distinct(), key, "left_anti")
     top = waiting.orderBy(order).limit(max(slots, 0)).select(F.col(order).alias("__o"))
     return waiting.join(F.broadcast(top), F.col(order) == F.col("__o"), "left").withColumn("sent", F.col("__o").isNotNull()).drop("__o")
+
+
+def placed(df: DataFrame, score: str, unique: str) -> DataFrame:
+    """All rows with ``place``: 1 is the highest ``score``, ties by ``unique``; a NULL score comes last.
+
+    Made for scores of few values: rows above are summed over one row for each value, and only the rows of one value are sorted together.
+    """
+    n = df.groupBy(F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    above = W.orderBy(F.desc_nulls_last("__s")).rowsBetween(W.unboundedPreceding, -1)
+    n = n.select("__s", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
+    own = F.row_number().over(W.partitionBy(score).orderBy(unique))
+    return df.join(n, F.col(score).eqNullSafe(F.col("__s"))).withColumn("place", F.col("__above") + own).drop("__s", "__above")
+
+
+def pick(ranked: DataFrame, n: int, listed: int = 10) -> DataFrame:
+    """The row at place ``n`` with ``error`` NULL; if there is none, one row that holds only an error, naming the places that a list shows."""
+    there = ranked.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    hit = there.join(ranked.filter(F.col("place") == n), F.lit(True), "left")
+    error = F.when(F.col("__n") == 0, "no results").when(F.col("place").isNull(), F.concat(F.lit("pick 1-"), F.least("__n", F.lit(listed)).cast("string")))
+    return hit.withColumn("error", error).drop("__n")

@@ -77,6 +77,11 @@ def top_lines(reports: DataFrame, n: int = 5) -> DataFrame:
     return union.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("measure"), "id"))).select("kind", "place", "id", "measure")
 
 
+def cleanest(clips: DataFrame, n: int = 90) -> DataFrame:
+    """The ``n`` clips of the highest ratio; clips without one are left out, ties by show and speaker. A top-k."""
+    return clips.filter("ratio is not null").orderBy(F.desc("ratio"), "show_id", "speaker").limit(n)
+
+
 def quality(reports: DataFrame, key: str | Column) -> DataFrame:
     """Lines, share squeezed, overruns, worst overrun and their rate, by ``key``."""
     over = (F.col("overflow") > P.OVERRUN) & (F.col("available") > 0)

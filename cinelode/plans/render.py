@@ -113,6 +113,12 @@ def bank(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumns({"ratio": real(F.col("ratio")), "pitch": real(F.col("pitch"))})
 
 
+@query(f"WITH {BANK} SELECT DISTINCT show_id, speaker, ratio FROM bank0 WHERE ratio IS NOT NULL ORDER BY ratio DESC, show_id, speaker LIMIT 90")
+def t09_cleanest_clips(spark: SparkSession, d: str) -> DataFrame:
+    """The 90 cleanest clips of the bank by ratio."""
+    return O.cleanest(bank(spark, d).select("show_id", "speaker", "ratio").distinct())
+
+
 DENSE = "v AS (SELECT show_id, CAST(round(12 * log2(pitch) * 1000000) AS BIGINT) AS tone, seconds FROM bank0 WHERE pitch > 0), h AS (SELECT a.show_id, a.tone, round(sum(b.seconds), 6) AS held, count(*) AS n_members FROM (SELECT DISTINCT show_id, tone FROM v) a JOIN v b ON a.show_id = b.show_id AND b.tone BETWEEN a.tone - 2000000 AND a.tone + 2000000 GROUP BY 1, 2), t AS (SELECT show_id, round(sum(seconds), 6) AS total FROM v GROUP BY 1)"
 
 

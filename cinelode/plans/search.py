@@ -52,6 +52,13 @@ def m02_t03_t04_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).select("place", "id", "score")
 
 
+@query(f"{REL}, s AS (SELECT id, {SCORE} AS score FROM (SELECT *, lower(title) AS t FROM releases)) SELECT row_number() OVER (ORDER BY score DESC, id) AS place, id, score FROM s")
+def t03_ranked_results(spark: SparkSession, d: str) -> DataFrame:
+    """All search results with their place: score, then arrival."""
+    s = V.releases(spark, d).select("id", S.release_score(F.col("title"), F.col("seeders"), F.col("size")).cast("long").alias("score"))
+    return rank.placed(s, "score", "id").select("place", "id", "score")
+
+
 HIGH = r"(?i)\b24\s?bit|24-?96|24-?192\b"
 
 

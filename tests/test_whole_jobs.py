@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from cinelode.operators import rank, render
 from cinelode.plans import registry, search
 from helpers import duck_rows, rows
 
@@ -86,3 +87,28 @@ def test_covers_of_all_files(spark, tmp_path):
     got = rows(QUERIES["t05_p26_covers"](spark, d))
     assert got == duck_rows(c, without(SQL["t05_p26_covers"], " WHERE id % 5 = 0"))
     assert {r[1] for r in got[1]} == {0, 1, 2, 3}
+
+
+def test_every_result_has_a_place(spark, tmp_path):
+    d, c = tables(tmp_path, files="select i::bigint as id, 'Show ' || i || case i % 3 when 0 then ' 1080p.mkv' else ' 720p.mkv' end as name, 300000000::bigint as size from range(1, 251) t(i)")
+    got = rows(QUERIES["t03_ranked_results"](spark, d))
+    assert got == duck_rows(c, SQL["t03_ranked_results"])
+    assert sorted(r[got[0].index("place")] for r in got[1]) == list(range(1, 251))
+
+
+def test_pick(spark):
+    ranked = rank.placed(spark.createDataFrame([(i, s) for i, s in enumerate([5, None, 9, 5, 9])], "id long, score long"), "score", "id")
+    assert [(r.place, r.id) for r in ranked.orderBy("place").collect()] == [(1, 2), (2, 4), (3, 0), (4, 3), (5, 1)]
+    picked = lambda df, n: [(r.id, r.error) for r in rank.pick(df, n).collect()]
+    assert picked(ranked, 3) == [(0, None)]
+    assert picked(ranked, 0) == picked(ranked, 6) == [(None, "pick 1-5")]
+    assert picked(ranked.filter("false"), 1) == [(None, "no results")]
+    many = rank.placed(spark.range(30).selectExpr("id", "-id score"), "score", "id")
+    assert picked(many, 12) == [(11, None)] and picked(many, 31) == [(None, "pick 1-10")]
+
+
+def test_ninety_cleanest(spark):
+    clips = spark.range(200).selectExpr("cast(id % 7 as int) show_id", "concat('s', id) speaker", "if(id = 3, null, cast(id div 2 as double)) ratio")
+    got = [(r.ratio, r.show_id, r.speaker) for r in render.cleanest(clips).collect()]
+    want = sorted(((i // 2 * 1.0, i % 7, f"s{i}") for i in range(200) if i != 3), key=lambda r: (-r[0], r[1], r[2]))[:90]
+    assert got == want
