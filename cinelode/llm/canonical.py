@@ -240,8 +240,9 @@ def match(files: DataFrame, seasons: DataFrame) -> DataFrame:
     """(id, show_id, errors): the show that the title in ``name`` means, 0 if none is listed.
 
     One row for every distinct id, the smallest name standing for an id. NULL, blank
-    and title-less names give 0 with errors -1. The title nearest to the file counts;
-    folders above it are asked only where it has no title.
+    and title-less names give 0 with errors -1. The title nearest to the file counts; the
+    folders above it are asked where it has none or none that any entry is near to. A title
+    between two shows gives 0 and is not asked further.
     """
     shared = files.sparkSession.sparkContext.broadcast(listed(seasons))
 
@@ -258,7 +259,8 @@ def match(files: DataFrame, seasons: DataFrame) -> DataFrame:
                     if title not in known:
                         known[title] = reference.nearest(title)
                     show, error = known[title]
-                    break
+                    if show or error >= 0:
+                        break
                 shows.append(show)
                 errors.append(error)
             yield pd.DataFrame({"id": pdf["id"], "show_id": shows, "errors": errors})

@@ -96,6 +96,13 @@ def test_table(spark):
     assert {r.show_id for r in canonical.match(files, seasons.limit(0)).collect()} == {0}
 
 
+def test_folders_are_asked_where_the_own_title_is_out_of_reach(spark):
+    rows = [(1, "The Secret Orchard/Scrt Orkhrdxq S01E02.mkv"), (2, "The Secret Orchard/Season 1/Qqqqq Wwwww S01E03.mkv"), (3, "The Secret Orchard/Walker Tales B S01E01.mkv"), (4, "Nothing Listed/Qqqqq Wwwww S01E03.mkv")]
+    seasons = spark.createDataFrame([(3, "The Secret Orchard", None), (4, "Walker Tales A", None), (5, "Walker Tales C", None)], "show_id int, show string, aliases array<string>")
+    got = {r.id: r.show_id for r in canonical.match(spark.createDataFrame(rows, "id bigint, name string"), seasons).collect()}
+    assert got == {1: 3, 2: 3, 3: 0, 4: 0}  # 3 is as near to one show as to another: not asked further
+
+
 @pytest.mark.xfail(reason="a word of another title, three errors away in seven letters, is only told apart if the list has that word", strict=True)
 def test_known_limit_of_an_unlisted_word():
     assert canonical.Reference([s for s in SHOWS if s[1] != 7]).nearest("Salted Telescope")[0] == 0
