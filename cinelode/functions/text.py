@@ -167,9 +167,9 @@ def artist_album(c: Column) -> Column:
         parts = x["parts"]
         split = (F.size(parts) > 1) & ~F.get(parts, 0).rlike(bare_year)
         name = F.when(split, F.get(parts, 0))
-        rest = F.when(split, F.slice(parts, 2, 99)).otherwise(parts)
+        rest = F.when(split, F.slice(parts, 2, F.size(parts))).otherwise(parts)
         own = F.when(x["year"].isNull(), found(F.get(rest, 0), bare_year))
-        return F.struct(F.coalesce(x["year"], own).alias("year"), name.alias("name"), F.when(own.isNotNull(), F.slice(rest, 2, 99)).otherwise(rest).alias("rest"))
+        return F.struct(F.coalesce(x["year"], own).alias("year"), name.alias("name"), F.when(own.isNotNull(), F.slice(rest, 2, F.size(rest))).otherwise(rest).alias("rest"))
 
     def artist(name: Column) -> Column:
         short = F.coalesce(F.nullif(strip(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", "")), F.lit("")), name)

@@ -54,7 +54,7 @@ def speakable(df: DataFrame, text: str, lexicon: dict[str, str]) -> DataFrame:
 
     def swap(w):
         new = F.try_element_at(table, F.lower(w))
-        return F.when(new.isNull(), w).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 10_000))).otherwise(new)
+        return F.when(new.isNull(), w).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, F.length(new)))).otherwise(new)
 
     return df.withColumn(text, F.array_join(F.transform(tokens, swap), ""))
 

@@ -32,7 +32,7 @@ def media_files(listed: DataFrame) -> DataFrame:
     head = F.when(F.col("name").contains("/"), F.substring_index("name", "/", 1))
     df = by_item(listed.withColumn("head", head), low=F.min("head"), high=F.max("head"), flat=F.max(F.col("head").isNull()))
     wrapped = ~F.col("flat") & (F.col("low") == F.col("high"))
-    rel = F.when(wrapped, F.substring(F.col("name"), F.length("head") + 2, 1_000_000)).otherwise(F.col("name"))
+    rel = F.when(wrapped, F.substring(F.col("name"), F.length("head") + 2, F.length("name"))).otherwise(F.col("name"))
     parts = F.transform(F.filter(F.split(rel, "/"), lambda x: x != ""), lambda x: T.sanitize(x))
     shown = F.coalesce(F.nullif("short_name", F.lit("")), F.col("name"))
     df = df.withColumns({"parts": parts, "ext": T.extension(shown), "cls": T.file_class(shown)}).drop("head", "low", "high", "flat")

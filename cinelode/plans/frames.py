@@ -76,7 +76,7 @@ HALF = "(list_sum(list_transform(v[{a}:{b}], lambda x: CAST(x AS DOUBLE) * CAST(
 def x08_pan_loudness(spark: SparkSession, d: str) -> DataFrame:
     """Pan and loudness; an array's halves are taken as left and right."""
     half = F.floor(F.size("v") / 2).cast("int")
-    c = chunks(spark, d).withColumn("p", O.pan_and_level(F.slice("v", 1, half), F.slice("v", half + 1, 100_000)))
+    c = chunks(spark, d).withColumn("p", O.pan_and_level(F.slice("v", 1, half), F.slice("v", half + 1, F.greatest(F.size("v") - half, F.lit(0)))))
     return c.select("chunk", F.round("p.pan", 6).alias("pan"), F.round("p.loudness", 6).alias("loudness"))
 
 

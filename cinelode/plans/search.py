@@ -87,13 +87,22 @@ def p11_relevant(spark: SparkSession, d: str) -> DataFrame:
 MOST_QUERIES = 100_000
 
 
-def _contained(k: DataFrame, q: DataFrame) -> DataFrame:
-    """(id, show_id) of keys that contain a query, by an Aho-Corasick automaton over the bounded queries."""
+def _joined(k: DataFrame, q: DataFrame) -> DataFrame:
+    """As :func:`_contained` for any number of queries: keys' parts of the queries' lengths, joined by equality."""
+    sizes = q.agg(F.array_sort(F.collect_set(F.length("q"))).alias("__sizes"))  # one row of distinct lengths
+    part = F.flatten(F.transform("__sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring("key", i, n))))
+    parts = k.join(F.broadcast(sizes)).select("id", F.explode(part).alias("__p")).distinct()
+    return parts.join(q, F.col("__p") == F.col("q")).select("id", "show_id")
+
+
+def _contained(k: DataFrame, q: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """(id, show_id) of keys that contain a query: up to ``most`` queries by an Aho-Corasick automaton, more by a join on parts."""
     import ahocorasick
 
-    rows = q.filter("q <> ''").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError("too many queries to be held in memory")
+    q = q.filter("q <> ''")
+    rows = q.limit(most + 1).collect()
+    if len(rows) > most:
+        return _joined(k, q)
     by_word: dict[str, list[int]] = {}
     for r in rows:
         by_word.setdefault(r.q, []).append(r.show_id)
@@ -111,8 +120,8 @@ def _contained(k: DataFrame, q: DataFrame) -> DataFrame:
     return k.mapInPandas(run, "id bigint, show_id int")
 
 
-ALBUM_ROWS = stages("SELECT id, title, size, seeders FROM releases WHERE id % 2 = 0", *album_steps("title", "x_"))
-PLAUSIBLE = f"{REL}, p AS (SELECT id, x_album, x_year, size, seeders, lower(regexp_replace(x_album, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS key FROM ({ALBUM_ROWS}) WHERE NOT regexp_matches(title, '\\.\\.\\.\\s*$') AND x_album IS NOT NULL AND NOT regexp_matches(coalesce(x_artist, ''), '(?i)^(?:va|various)\\b') AND seeders > 0 AND NOT (x_year IS NULL AND length(x_album) <= 6))"
+ALBUM_ROWS = stages("SELECT id, title, size, seeders FROM releases", *album_steps("title", "x_"))
+PLAUSIBLE = f"{REL}, p AS (SELECT id, x_artist, x_album, x_year, size, seeders, lower(regexp_replace(x_album, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS key FROM ({ALBUM_ROWS}) WHERE NOT regexp_matches(title, '\\.\\.\\.\\s*$') AND x_album IS NOT NULL AND NOT regexp_matches(coalesce(x_artist, ''), '(?i)^(?:va|various)\\b') AND seeders > 0 AND NOT (x_year IS NULL AND length(x_album) <= 6))"
 
 
 def _plausible(spark: SparkSession, d: str) -> DataFrame:
@@ -154,13 +163,13 @@ def greedy_suffixes(rows: DataFrame, group: str, key: str, order: list[str], lea
     return stream_fold(rows.select(*cols), [group], order, lambda: (set(), set()), step, f"{group} {kinds[group]}, id bigint, {key} string")
 
 
-W16 = f"""{PLAUSIBLE.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT id % 50 AS grp, id, key, row_number() OVER (PARTITION BY id % 50 ORDER BY -seeders, id) AS n FROM p WHERE key <> ''),
+W16 = f"""{PLAUSIBLE.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT grp, id, key, row_number() OVER (PARTITION BY grp ORDER BY -seeders, id) AS n FROM (SELECT *, CASE WHEN x_artist IS NOT NULL THEN lower(regexp_replace(x_artist, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) END AS grp FROM p WHERE key <> '')),
 g AS (
   SELECT grp, n, [key] AS kept, id, TRUE AS took FROM o WHERE n = 1
   UNION ALL
   SELECT grp, n, CASE WHEN took THEN list_append(kept, key) ELSE kept END, id, took FROM (
     SELECT o.grp, o.n, g.kept, o.key, o.id, len(list_filter(g.kept, lambda k: k = o.key OR (least(length(k), length(o.key)) >= 8 AND (ends_with(k, o.key) OR ends_with(o.key, k))))) = 0 AS took
-    FROM g JOIN o ON o.grp = g.grp AND o.n = g.n + 1))
+    FROM g JOIN o ON o.grp IS NOT DISTINCT FROM g.grp AND o.n = g.n + 1))
 SELECT grp, id FROM g WHERE took"""
 
 
@@ -202,7 +211,7 @@ def j06_no_suffix_held(spark: SparkSession, d: str) -> DataFrame:
 
     A suffix match is an equi-join on suffixes: every key is exploded into its suffixes of 8 letters or more, so no pairs are tried.
     """
-    suffixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 7), lambda i: F.substring(c, i, 10_000)))
+    suffixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - 7), lambda i: F.substring(c, i, F.length(c))))
     n, h = _keyed(spark, d), _held(spark, d)
     long_n, long_h = n.filter(F.length("key") >= 8), h.filter(F.length("held") >= 8)
     ends_in = long_n.select("id", suffixes(F.col("key")).alias("s")).join(long_h, F.col("s") == F.col("held")).select("id")
@@ -218,7 +227,7 @@ def r04_union_of_queries(spark: SparkSession, d: str) -> DataFrame:
     return rank.extreme(u, ["title"], [("q", False), ("id", False)], ["q", "id"]).select("q", "id", "title")
 
 
-@query(f"{REL}, a AS (SELECT id, title FROM releases WHERE id % 5 = 0), b AS (SELECT id, title FROM releases WHERE id % 5 = 1) SELECT id, title, 'pending' AS src FROM a UNION ALL SELECT id, title, 'new' FROM b WHERE title NOT IN (SELECT title FROM a)")
+@query(f"{REL}, a AS (SELECT id, title FROM releases WHERE id % 5 = 0), b AS (SELECT id, title FROM releases WHERE id % 5 <> 0) SELECT id, title, 'pending' AS src FROM a UNION ALL SELECT id, title, 'new' FROM b WHERE title NOT IN (SELECT title FROM a)")
 def r05_pending_and_new(spark: SparkSession, d: str) -> DataFrame:
     """Pending releases and the new ones by title; every fifth stands for a pending one, all others are search results."""
     r = V.releases(spark, d).select("id", "title")

@@ -1,4 +1,4 @@
-"""Queries that must take in every row, held against their SQL without its subsets."""
+"""Queries that must take in every row."""
 
 import duckdb
 import pytest
@@ -19,13 +19,6 @@ def tables(tmp_path, **made):
     return str(tmp_path), c
 
 
-def without(sql: str, *cuts: str) -> str:
-    for cut in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, "")
-    return sql
-
-
 @pytest.fixture
 def albums(tmp_path):
     """Files with odd and even ids named as albums: of two artists, of none, and one that is not plausible."""
@@ -38,7 +31,7 @@ def albums(tmp_path):
 def test_plausible_albums_of_odd_ids(spark, albums):
     d, c = albums
     got = rows(QUERIES["p12_plausible_albums"](spark, d))
-    assert got == duck_rows(c, without(SQL["p12_plausible_albums"], " WHERE id % 2 = 0"))
+    assert got == duck_rows(c, SQL["p12_plausible_albums"])
     assert {r[1] for r in got[1]} == {3, 4, 55, 8, 107}
 
 
@@ -77,7 +70,7 @@ def test_fold_keeps_no_rows_and_groups_nulls(spark):
 def test_pending_and_new_hold_every_release(spark, tmp_path):
     d, c = tables(tmp_path, files="select i::bigint as id, case when i in (5, 7) then 'same.mkv' else 'release ' || i || '.mkv' end as name, 1::bigint as size from range(1, 21) t(i)")
     got = rows(QUERIES["r05_pending_and_new"](spark, d))
-    assert got == duck_rows(c, SQL["r05_pending_and_new"].replace("id % 5 = 1", "id % 5 <> 0"))
+    assert got == duck_rows(c, SQL["r05_pending_and_new"])
     assert {r[0] for r in got[1]} == set(range(1, 21)) - {7}
 
 
@@ -85,7 +78,7 @@ def test_covers_of_all_files(spark, tmp_path):
     """Items whose ids of files don't divide by 5 have covers too, and a better one among them wins."""
     d, c = tables(tmp_path, files="select i::bigint as id, (i % 4)::bigint as item_id, 'x.mkv' as name, (1000000 + 1000 * i)::bigint as size from range(1, 30) t(i) where i % 5 > 0 or i % 4 = 0")
     got = rows(QUERIES["t05_p26_covers"](spark, d))
-    assert got == duck_rows(c, without(SQL["t05_p26_covers"], " WHERE id % 5 = 0"))
+    assert got == duck_rows(c, SQL["t05_p26_covers"])
     assert {r[1] for r in got[1]} == {0, 1, 2, 3}
 
 
@@ -112,3 +105,11 @@ def test_ninety_cleanest(spark):
     got = [(r.ratio, r.show_id, r.speaker) for r in render.cleanest(clips).collect()]
     want = sorted(((i // 2 * 1.0, i % 7, f"s{i}") for i in range(200) if i != 3), key=lambda r: (-r[0], r[1], r[2]))[:90]
     assert got == want
+
+
+def test_more_queries_than_memory_holds(spark):
+    k = spark.createDataFrame([(1, "xxhollowship"), (2, "hollow"), (3, ""), (4, "ship")], "id bigint, key string")
+    q = spark.createDataFrame([(7, "hollow"), (8, "ship"), (9, "hollowships"), (7, "")], "show_id int, q string")
+    want = {(1, 7), (1, 8), (2, 7), (4, 8)}
+    for most in (2, 100):
+        assert {tuple(r) for r in search._contained(k, q, most).collect()} == want
