@@ -194,20 +194,43 @@ def spread(typed: str, words: tuple[str, ...]) -> list[int]:
 
 
 def distance(a: str, b: str, limit: int) -> int:
-    """Errors between two words (a swap of neighbours is one), ``limit`` + 1 if there are more."""
+    """Errors between two words (a swap of neighbours is one), ``limit`` + 1 if there are more.
+
+    What both begin and end with is left out; a column of the rest is one number whose bits are the steps between
+    its cells, so a letter costs a few operations whatever the length.
+    """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, x in enumerate(b, 1):
-            v = before[j - 1] if c == x else 1 + min(before[j - 1], before[j], row[j - 1])
-            if c != x and i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == x:
-                v = min(v, older[j - 2] + 1)
-            row.append(v)
-        if min(row) > limit and (i == 1 or min(before) >= limit):
-            return limit + 1
-    return min(row[-1], limit + 1)
+    head = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        head += 1
+    end_a, end_b = len(a), len(b)
+    while end_a > head and end_b > head and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[head:end_a], b[head:end_b]
+    if not a or not b:
+        return min(len(a) + len(b), limit + 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    top = 1 << (len(a) - 1)
+    up, down, diagonal, before, errors = full, 0, 0, 0, len(a)
+    for c in b:
+        here = where.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = (((here & up) + up) ^ up | here | down | swap) & full
+        more, less = down | (full & ~(diagonal | up)), diagonal & up
+        if more & top:
+            errors += 1
+        elif less & top:
+            errors -= 1
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(diagonal | more)) & full, more & diagonal & full
+        before = here
+    return min(errors, limit + 1)
 
 
 def entries(names: list[tuple[str, int]]) -> list[tuple[tuple[str, ...], int]]:

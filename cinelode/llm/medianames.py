@@ -67,6 +67,8 @@ class Name(NamedTuple):
 
 def letters(text: str) -> str:
     """Lower case, full width to half width, no diacritics on Latin letters."""
+    if text.isascii():
+        return text.lower()
     out = []
     for c in unicodedata.normalize("NFKC", text).casefold():
         if ord(c) < 128:
@@ -79,13 +81,17 @@ def letters(text: str) -> str:
     return "".join(out).replace("ё", "е").replace("ø", "o").replace("ł", "l").replace("æ", "ae").replace("ß", "ss")
 
 
+_APOSTROPHE = re.compile(r"['’`´ʼ]")
 _TOKEN = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*", re.U)
 
 
 def tokens(text: str) -> list[str]:
     """Words of a title with look-alike letters and digits for letters undone."""
     out = []
-    for t in _TOKEN.findall(re.sub(r"['’`´ʼ]", "", letters(text))):
+    for t in _TOKEN.findall(_APOSTROPHE.sub("", letters(text))):
+        if t.isascii():
+            out.append(t if t.isalpha() or t.isdigit() else _undigit(t))
+            continue
         latin = sum("a" <= c <= "z" for c in t)
         cyrillic = sum("Ѐ" <= c <= "ԯ" for c in t)
         if latin and latin >= cyrillic:
@@ -100,6 +106,10 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def _undigit(t: str) -> str:
+    return "".join(DIGIT_FOR_LETTER.get(c, c) for c in t) if any("a" <= c <= "z" for c in t) else t
+
+
 def key(text: str) -> str:
     """The form in which titles are compared: no spaces, marks, articles or 'and'."""
     words = tokens(text)
