@@ -1,16 +1,19 @@
 """Freely typed values to entries of a reference list.
 
 The reference entries, with their aliases and word-order forms, make a trie. A typed
-value is searched in it with a universal Levenshtein automaton: states are
+value is searched in it once, with a universal Levenshtein automaton for the errors that its length allows: states are
 sets of (offset, errors) relative to a position of the typed value, and a step depends only
 on the state and on where the trie's letter occurs in the next few letters, so all steps
-are kept in one table that all searches share. A swap of neighbours is one error.
+are kept in one table that all searches share. A swap of neighbours is one error. The walk leaves branches below
+which no entry shares enough letter pairs with the typed value to be within reach, which loses none.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +101,42 @@ class Reference:
             short = 0 if self.ends[node] else min((a for a, _ in below), default=0) + 1
             self.rest[node] = (short, max((b + 1 for _, b in below), default=0))
         self.automata: dict[int, Automaton] = {}
+        joined = ["".join(words) for words, _ in self.entries]
+        self.exact: dict[str, int] = {}
+        self.paths: list[list[int]] = []
+        #: Entries by letter pair (with its number, if it comes more than once), and their lengths.
+        pairs: dict[tuple[str, int], list[int]] = defaultdict(list)
+        for number, name in enumerate(joined):
+            self.exact[name] = min(self.exact.get(name, self.entries[number][1]), self.entries[number][1])
+            path = [0]
+            for c in name:
+                path.append(self.children[path[-1]][c])
+            self.paths.append(path)
+            for pair in letter_pairs(name):
+                pairs[pair].append(number)
+        self.pairs = {k: np.asarray(v, dtype=np.int64) for k, v in pairs.items()}
+        self.lengths = np.asarray([len(x) for x in joined], dtype=np.int64)
+
+    def open_nodes(self, typed: str, k: int) -> set[int] | None:
+        """Nodes on the way to entries that may be within ``k`` errors of ``typed``; None if all may be.
+
+        An error spoils up to two letter pairs and a swap three, so an entry in reach shares at least len + 1 - 3k of them.
+        """
+        least = len(typed) + 1 - 3 * k
+        if least < 1:
+            return None
+        lists = [self.pairs[x] for x in letter_pairs(typed) if x in self.pairs]
+        if not lists:
+            return set()
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.lengths))
+        near = np.flatnonzero((shared >= least) & (np.abs(self.lengths - len(typed)) <= k))
+        return {node for x in near for node in self.paths[x]}
 
     def search(self, typed: str, k: int) -> dict[int, int]:
         """Every entry within ``k`` errors of ``typed``: number -> fewest errors."""
+        open_ = self.open_nodes(typed, k)
+        if open_ is not None and not open_:
+            return {}
         auto = self.automata.setdefault(k, Automaton(k))
         n, width, found = len(typed), auto.width, {}
         mask = (1 << width) - 1
@@ -116,6 +152,8 @@ class Reference:
                     for x in self.ends[node]:
                         found[x] = min(found.get(x, k + 1), errors)
             for c, child in self.children[node].items():
+                if open_ is not None and child not in open_:
+                    continue
                 short, long = self.rest[child]
                 left = n - base
                 if short > left + k or long + k + k + 2 < left:
@@ -125,42 +163,67 @@ class Reference:
                     stack.append((child, base + nxt[0], nxt[1]))
         return found
 
-    def nearest(self, typed: str) -> tuple[int, int]:
-        """(number, errors) of the nearest entry within the allowed distance, 0 if none is meant.
+    def within(self, typed: str) -> dict[int, tuple[int, bool]]:
+        """Every number with an entry within the distance that the typed value's length allows: (fewest errors, whether the entry is plausible).
 
-        The number of errors grows until an entry passes :meth:`plausible`. Two different
-        entries equally near, with errors, mean that neither is meant for sure: 0. Equal exact
-        entries give the smallest number.
+        A plausible entry goes before one that isn't, then the one with fewer errors.
         """
         keys = list(dict.fromkeys("".join(w) for w in medianames.spellings(typed)))
         words = set(medianames.tokens(typed))
         foreign = words & self.vocabulary if len(words) > 1 else set()
-        for k in range(max((allowed(len(x)) for x in keys), default=-1) + 1):
-            found: dict[int, int] = {}
-            for x in keys:
-                if k <= allowed(len(x)):
-                    for entry, errors in self.search(x, k).items():
-                        if self.plausible(x, entry, errors, foreign):
-                            number = self.entries[entry][1]
-                            found[number] = min(found.get(number, k + 1), errors)
-            if found:
-                best = min(found.values())
-                names = sorted(x for x, e in found.items() if e == best)
-                return (0, best) if len(names) > 1 and best else (names[0], best)
-        return 0, -1
-
-    def plausible(self, typed: str, entry: int, errors: int, foreign: set[str]) -> bool:
+        heads = {w[0] for w in words} if len(words) > 1 else set()
+        out: dict[int, tuple[int, bool]] = {}
+        for x in keys:
+            for entry, errors in self.search(x, allowed(len(x))).items():
+                number = self.entries[entry][1]
+                old = out.get(number)
+                if old is not None and old[1] and old[0] <= errors:
+                    continue
+                new = (errors, self.plausible(x, entry, errors, foreign, heads))
+                if old is None or (not new[1], errors) < (not old[1], old[0]):
+                    out[number] = new
+        return out
+
+    def nearest(self, typed: str) -> tuple[int, int]:
+        """(number, errors) of the nearest plausible entry within the allowed distance, 0 if none is meant.
+
+        Two different entries equally near, with errors, mean that neither is meant for sure: 0. Equal exact
+        entries give the smallest number.
+        """
+        same = [self.exact[k] for w in medianames.spellings(typed) if (k := "".join(w)) in self.exact]
+        if same:
+            return min(same), 0
+        found = {n: e for n, (e, fine) in self.within(typed).items() if fine}
+        if not found:
+            return 0, -1
+        best = min(found.values())
+        names = sorted(x for x, e in found.items() if e == best)
+        return (0, best) if len(names) > 1 and best else (names[0], best)
+
+    def plausible(self, typed: str, entry: int, errors: int, foreign: set[str], heads: set[str]) -> bool:
         """An exact check of a hit: no word of the entry may be another word.
 
         Words of the list that were typed but are not the entry's speak against it; with three or more
-        errors, no single word may hold more of them than WORD_SHARE of its length.
+        errors, no single word may hold more of them than WORD_SHARE of its length, and one that holds three or more keeps
+        its first letter (``heads``: those of the typed words, if there are several).
         """
         words = self.entries[entry][0]
         if not errors:
             return True
-        if any(all(sum(spread(w, (x,))) > 1 for x in words) for w in foreign if w not in words):
+        if any(all(distance(w, x, 1) > 1 for x in words) for w in foreign if w not in words):
             return False
-        return errors < 3 or all(e <= max(1, WORD_SHARE * len(w)) for w, e in zip(words, spread(typed, words), strict=True))
+        return errors < 3 or all(e <= max(1, WORD_SHARE * len(w)) and (e < 3 or not heads or w[0] in heads) for w, e in zip(words, spread(typed, words), strict=True))
+
+
+def letter_pairs(name: str) -> list[tuple[str, int]]:
+    """Neighbouring letters of a name, its ends included, each with the number of its occurrence."""
+    padded = f" {name} "
+    seen: Counter[str] = Counter()
+    out = []
+    for x in map("".join, zip(padded, padded[1:], strict=False)):
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
 
 
 def spread(typed: str, words: tuple[str, ...]) -> list[int]:
@@ -259,6 +322,22 @@ def listed(seasons: DataFrame) -> list[tuple[str, int]]:
     return sorted((r.name, r.show_id) for r in names)
 
 
+_built: dict[int, Reference] = {}
+
+
+def reference(names: list[tuple[str, int]]) -> Reference:
+    """The reference of a list, built once in a worker."""
+    key = hash(tuple(names))
+    if key not in _built:
+        _built.clear()
+        _built[key] = Reference(names)
+    return _built[key]
+
+
+#: Titles whose result a task keeps, as files of a download share theirs.
+KEPT = 200_000
+
+
 def match(files: DataFrame, seasons: DataFrame) -> DataFrame:
     """(id, show_id, errors): the show that the title in ``name`` means, 0 if none is listed.
 
@@ -270,17 +349,17 @@ def match(files: DataFrame, seasons: DataFrame) -> DataFrame:
     shared = files.sparkSession.sparkContext.broadcast(listed(seasons))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reference = Reference(shared.value)
+        shows_of = reference(shared.value)
         known: dict[str, tuple[int, int]] = {}
         for pdf in batches:
-            if len(known) > 200_000:
+            if len(known) > KEPT:
                 known.clear()
             shows, errors = [], []
             for name in pdf["name"]:
                 show, error = 0, -1
                 for title in medianames.parse(name).titles:
                     if title not in known:
-                        known[title] = reference.nearest(title)
+                        known[title] = shows_of.nearest(title)
                     show, error = known[title]
                     if show or error >= 0:
                         break
@@ -290,3 +369,33 @@ def match(files: DataFrame, seasons: DataFrame) -> DataFrame:
 
     one = files.groupBy("id").agg(F.min("name").alias("name"))
     return one.mapInPandas(run, "id bigint, show_id int, errors int")
+
+
+def titles(files: DataFrame) -> DataFrame:
+    """(title, files): every distinct title that a path holds, own or of a folder, with the number of ids whose path holds it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"title": [t for name in pdf["name"] for t in dict.fromkeys(medianames.parse(name).titles)]}, dtype="object")
+
+    one = files.groupBy("id").agg(F.min("name").alias("name"))
+    return one.mapInPandas(run, "title string").groupBy("title").agg(F.count(F.lit(1)).alias("files"))
+
+
+def within_reach(files: DataFrame, seasons: DataFrame) -> DataFrame:
+    """(title, files, show_id, errors, plausible): for every distinct typed title all shows with an entry within its distance, a row each.
+
+    A title without any has one row with NULLs: the report of unmatched values. ``plausible`` is false where a whole word differs.
+    """
+    shared = files.sparkSession.sparkContext.broadcast(listed(seasons))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shows_of = reference(shared.value)
+        for pdf in batches:
+            rows = []
+            for title, n in zip(pdf["title"], pdf["files"], strict=True):
+                found = shows_of.within(title)
+                rows += [(title, n, show, e, fine) for show, (e, fine) in sorted(found.items())] or [(title, n, None, None, None)]
+            yield pd.DataFrame(rows, columns=["title", "files", "show_id", "errors", "plausible"]).astype({"show_id": "Int32", "errors": "Int32", "plausible": "boolean"})
+
+    return titles(files).mapInPandas(run, "title string, files bigint, show_id int, errors int, plausible boolean")

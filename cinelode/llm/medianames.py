@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 # File extensions by class.
@@ -46,6 +47,15 @@ _EPISODE = [
     (re.compile(r"#\s*0*(\d{1,4})(?![0-9a-z])"), None, 1),
     (re.compile(r"[\s._]-[\s._]*0*(\d{1,4})(?:v\d)?(?=$|[\s._\[(])"), None, 1),
 ]
+_ANY_DIGIT = re.compile(r"\d")
+# What a text must hold for the patterns of releases, sound tracks and copies to match.
+_SCENE_SIGNS = ("480p", "576p", "720p", "1080p", "1080i", "2160p", "4k", "blu", "web", "hdtv", "rip", "x264", "x265", "h264", "h265", "hevc", "remux")
+_SOUND_SIGNS = ("sound", "ost", "o.s.t", "vocal", "score", "song", "theme", "music", "drama")
+_TAIL_SIGNS = (")", "copy", "repack", "proper", "rerip", "real")
+#: Without a digit or a number's word after "episode" no pattern of an episode can match.
+_NUMBERED = re.compile(r"\d|ep(?:isode)?[\s._]+[a-z]", re.I)
+_SPACES = re.compile(r"\s+")
+_EXTENSION = re.compile(r"[a-z0-9]{2,4}")
 _TRACK = re.compile(r"^\s*(?:(\d{1,2})\s*-\s*(?=\d))?0*(\d{1,3})(?=$|[\s._-])")
 _SEASON_IN_TITLE = re.compile(r"[\s._-]+(?:(?:season|series)[\s._]*\d{1,3}|\d{1,2}(?:st|nd|rd|th)[\s._]+season|s\d{1,3})\s*$", re.I)
 _FILM = re.compile(r"[\s._-]*(?:\bthe[\s._]+movie\b|\bmovie\b|\bfilm\b)[\s._-]*(?:\(?(?:19|20)\d\d\)?)?.*$", re.I)
@@ -131,47 +141,79 @@ def forms(title: str) -> list[tuple[str, ...]]:
     return list(dict.fromkeys(out))
 
 
+@lru_cache(200_000)
 def _clean(part: str) -> str:
-    """A part of a path as a title: without brackets, tags, years, season and sound track words."""
-    s = _BRACKETS.sub(" ", part)
-    s = _TAIL.sub("", s)
-    s = _SCENE.sub("", s)
-    s = _SOUND.sub("", s)
-    s = _FILM.sub("", s)
-    s = _SPECIAL.sub(" ", s)
-    s = _YEAR.sub("", s.rstrip())
-    s = _SEASON_IN_TITLE.sub("", s.rstrip(" ._-"))
+    """A part of a path as a title: without brackets, tags, years, season and sound track words. Files share folders and titles, so parts are kept."""
+    s = _unbracketed(part)
+    s = _untailed(s)
+    low = s.lower()
+    digit = _ANY_DIGIT.search(s)
+    # Costly patterns run only where a sign of theirs is.
+    if any(x in low for x in _SCENE_SIGNS):
+        s = _SCENE.sub("", s)
+    if any(x in low for x in _SOUND_SIGNS):
+        s = _SOUND.sub("", s)
+    if "movie" in low or "film" in low:
+        s = _FILM.sub("", s)
+    if digit:
+        s = _SPECIAL.sub(" ", s)
+        s = _YEAR.sub("", s.rstrip())
+        s = _SEASON_IN_TITLE.sub("", s.rstrip(" ._-"))
     return s.strip(" ._-,")
 
 
+def _unbracketed(s: str) -> str:
+    return _BRACKETS.sub(" ", s) if "[" in s or "(" in s or "{" in s or "【" in s else s
+
+
+def _untailed(s: str) -> str:
+    """Without marks of a copy or a repeated release at the end."""
+    t = s.rstrip().lower()
+    return _TAIL.sub("", s) if t.endswith(_TAIL_SIGNS) or t[-1:].isdigit() and "copy" in t else s
+
+
+@lru_cache(100_000)
+def _folder(f: str) -> tuple[str, int | None]:
+    """What a folder says: season, disc, extra, sample or title, with its number."""
+    low = f.lower().strip()
+    if m := _SEASON_FOLDER.match(f):
+        return "season", int(m[1] or m[2])
+    if _SPECIALS_FOLDER.match(f):
+        return "season", 0
+    if m := _DISC_FOLDER.match(f):
+        return "disc", int(m[1])
+    if low in EXTRAS_FOLDERS:
+        return "extra", None
+    return ("sample" if low in SAMPLE_FOLDERS else "title"), None
+
+
 def parse(path: str | None) -> Name:
     """Read ``path``. A missing or blank one gives kind ''."""
-    text = unicodedata.normalize("NFKC", path or "").replace("\\", "/")
-    parts = [p.strip() for p in text.split("/") if p.strip()]
+    text = path or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    parts = [x for p in text.replace("\\", "/").split("/") if (x := p.strip())]
     if not parts:
         return Name("", "", None, None, "", ())
     folders, last = parts[:-1], parts[-1]
     stem, dot, ext = last.rpartition(".")
     ext = ext.strip().lower()
     media = "video" if ext in VIDEO else "audio" if ext in AUDIO else "subtitle" if ext in SUBTITLE else ""
-    if not dot or not media and not re.fullmatch(r"[a-z0-9]{2,4}", ext):
+    if not dot or not media and not _EXTENSION.fullmatch(ext):
         stem = last
-    stem = _TAIL.sub("", stem).strip()
-    season, disc, extra, above = None, None, False, []
+    stem = _untailed(stem).strip()
+    season, disc, extra, sample, above = None, None, False, False, []
     for f in folders:
-        low = f.lower().strip()
-        if m := _SEASON_FOLDER.match(f):
-            season = int(m[1] or m[2])
-        elif _SPECIALS_FOLDER.match(f):
-            season = 0
-        elif m := _DISC_FOLDER.match(f):
-            disc = int(m[1])
-        elif low in EXTRAS_FOLDERS:
-            extra = True
-        elif low not in SAMPLE_FOLDERS:
+        kind, n = _folder(f)
+        if kind == "season":
+            season = n
+        elif kind == "disc":
+            disc = n
+        elif kind == "title":
             above.append(f)
+        extra, sample = extra or kind == "extra", sample or kind == "sample"
     higher = [t for t in (_clean(f) for f in reversed(above)) if t]
-    if any(f.lower().strip() in SAMPLE_FOLDERS for f in folders) or _SAMPLE.search(stem):
+    if sample or _SAMPLE.search(stem):
         cut = _SAMPLE.split(stem)[0]
         for pattern, _, _ in _EPISODE:
             if m := pattern.search(cut):
@@ -185,13 +227,14 @@ def parse(path: str | None) -> Name:
         return Name("track", media, disc or 1, None, key(stem), tuple(higher))
     if extra:
         return Name("extra", media, None, None, "".join(tokens(_BRACKETS.sub(" ", stem))), tuple(higher))
-    bare = re.sub(r"\s+", " ", _BRACKETS.sub(" ", stem)).rstrip()
-    for pattern, s, e in _EPISODE[:6]:
+    bare = _SPACES.sub(" ", _unbracketed(stem)).rstrip()
+    numbered = _NUMBERED.search(bare)
+    for pattern, s, e in _EPISODE[:6] if numbered else ():
         if m := pattern.search(bare):
             return Name("episode", media, int(m[s]), int(m[e]), "", _titles(bare[: m.start()], higher))
-    if m := _SPECIAL.search(bare):
+    if numbered and (m := _SPECIAL.search(bare)):
         return Name("episode", media, 0, int(m[1]), "", _titles(bare[: m.start()], higher))
-    for pattern, _, e in _EPISODE[6:]:
+    for pattern, _, e in _EPISODE[6:] if numbered else ():
         if m := pattern.search(bare):
             n = NUMBER_WORDS[m[e].lower()] if m[e].lower() in NUMBER_WORDS else int(m[e])
             head = bare[: m.start()]

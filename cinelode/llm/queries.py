@@ -15,6 +15,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.match(table(spark, d, "files", "id", "name"), table(spark, d, "season", "show_id", "show", "aliases")).select("id", "show_id")
 
 
+def p2_within_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct typed title with all shows within its distance."""
+    return canonical.within_reach(table(spark, d, "files", "id", "name"), table(spark, d, "season", "show_id", "show", "aliases"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed titles that no listed show is near to, with the number of files that hold them."""
+    return p2_within_reach(spark, d).filter("show_id is null").select("title", "files")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     timing = table(spark, d, "timing", "id", "rendered_at", "speaker", "overflow", "compression")
     rows = topn.latest(timing, "id", "rendered_at", ["overflow", "compression", "speaker"])
@@ -70,7 +80,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids, p7_mix, p7_shares, p8_found, p8_shapes)}
+    return {f.__name__: f for f in (p2_found, p2_within_reach, p2_unmatched, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids, p7_mix, p7_shares, p8_found, p8_shapes)}
 
 
 P3 = """
