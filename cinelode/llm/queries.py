@@ -35,12 +35,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.same_files(table(spark, d, "files")).select("first_id", "keep_id")
+    return survivors.same_files(table(spark, d, "files"), fields=False).select("first_id", "keep_id")
 
 
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The record built field by field for each group."""
-    return survivors.same_files(table(spark, d, "files")).select("first_id", "keep_id", "item_id", "members", "best_short_name", "best_size")
+    """The record built field by field for each group, values of more trusted containers first."""
+    return survivors.same_files(table(spark, d, "files"), by_source=True).select("first_id", "keep_id", "item_id", "best_name", "best_short_name", "best_size")
 
 
 SCRIPT = ("id", "episode_id", "show_id", "start", "end", "window", "speaker", "text", "kind", "is_group")

@@ -52,7 +52,29 @@ def test_field_by_field(spark):
     rows = [(1, 1, "A S01E01.mkv", "unknown", 9, LATER), (2, 1, "A S01E01 x.mkv", "good", -1, DAY), (3, 1, "A S01E01 y.mkv", " ", None, None)]
     df = spark.createDataFrame([(*r, "") for r in rows], FILES)
     r = survivors.same_files(df).first()
-    assert (r.first_id, r.keep_id, r.members, r.best_short_name, r.best_size) == (1, 1, 3, "good", 9)
+    assert (r.first_id, r.keep_id, r.best_name, r.best_short_name, r.best_size) == (1, 1, "A S01E01.mkv", "good", 9)
+
+
+def test_values_of_trusted_containers_go_first(spark):
+    rows = [(1, 1, "A S01E01.avi", "late", 9, LATER), (2, 1, "A S01E01.MKV", "mine", None, DAY), (3, 1, "A - 01.mp4", None, 7, None), (3, 1, "A - 01.mp4", None, 7, None)]
+    df = spark.createDataFrame([(*r, "") for r in rows], FILES)
+    r = survivors.same_files(df, by_source=True).first()
+    assert (r.first_id, r.keep_id, r.best_name, r.best_short_name, r.best_size) == (1, 1, "A S01E01.MKV", "mine", 7)
+    # Most usable values still decide on the record; among equal ones the source does.
+    assert survivors.same_files(df.filter("id > 1"), by_source=True).first().keep_id == 2
+
+
+def test_a_group_without_season_is_merged_from_its_maxima(spark):
+    """A name that has the season comes only once the others are aggregated, and wins or loses as if it had been there."""
+    for late, keep in ((DAY, 5), (LATER, 1)):
+        rows = [(5, 1, "A - 02.mkv", "x", 1, datetime(2024, 1, 15)), (6, 1, "A Episode 2.mkv", "x", 1, DAY), (1, 1, "A S03E02.mkv", "x", 1, late), (9, 1, "A S00E02.mkv", "x", 1, LATER)]
+        assert found(spark, rows) == [(1, keep)]
+
+
+def test_one_parse(spark):
+    """Names are read in one place of the plan, before the groups are written."""
+    df = spark.createDataFrame([(1, 1, "A S01E01.mkv", "a", 1, DAY, "")], FILES)
+    assert survivors.same_files(df)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 0
 
 
 def test_ties_priority_and_empty(spark):
