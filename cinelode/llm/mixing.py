@@ -2,8 +2,11 @@
 
 The tokens of each listed source form one stream, cut into blocks of fixed length. The
 wanted number of blocks of a source follows from its target share of the whole, bounded by
-blocks x max_repeats. Output slots lie in shards; each shard's source counts are drawn from
-the multinomial law given the totals, so the totals are met exactly. Slot j of a source is
+blocks x max_repeats; unless told otherwise, the whole is the longest at which every source that
+has documents reaches its share. Output slots lie in shards; each shard's source counts are drawn from
+the multinomial law given the totals, so the totals are met exactly: a binary tree over the shards
+splits each node's totals by a draw seeded by the node, so a task reaches its own shard in log2(shards)
+steps and the driver sends only the totals. Slot j of a source is
 mapped to its block by a pseudorandom permutation of the block numbers, a new one each time
 the source starts over, and the blocks are joined by (source, block).
 """
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,11 +56,24 @@ def laid_out(sized: DataFrame, chunks: int) -> DataFrame:
     )
 
 
+#: Largest total that the exact hypergeometric sampler takes; above it the law's normal limit is rounded, which differs from it by less than one part in 10^4 of a spread.
+EXACT_DRAW = 10**9 - 1
+
+
+def longest(share: list[float], most: list[int]) -> int:
+    """The largest whole at which each source with blocks gives its share of what all such sources give."""
+    have = [(s, m) for s, m in zip(share, most, strict=True) if s > 0 and m > 0]
+    total = sum(s for s, _ in have)
+    return min((int(m * total / s) for s, m in have), default=0)
+
+
 def planned(targets: pd.DataFrame, tokens: dict[str, int], block: int, total_blocks: int | None) -> pd.DataFrame:
     """One row for each listed source: its blocks, the slots wanted and the slots given.
 
     targets: source, target_share, max_repeats, one row for each source; bad or missing shares count as 0,
-    missing repeats as 1. Without ``total_blocks``, the mix is as long as the listed sources' tokens.
+    missing repeats as 1. With ``total_blocks`` wanted slots are the share of that number, given ones what the source has. Without it, the whole
+    is the longest at which all sources that have documents reach their shares; a source without any can't be met at any length,
+    so the others share what it leaves in proportion.
     """
     t = targets.dropna(subset=["source"]).drop_duplicates("source").sort_values("source").reset_index(drop=True)
     share = pd.to_numeric(t["target_share"], errors="coerce").fillna(0).clip(lower=0)
@@ -65,25 +81,71 @@ def planned(targets: pd.DataFrame, tokens: dict[str, int], block: int, total_blo
     t["max_repeats"] = pd.to_numeric(t["max_repeats"], errors="coerce").fillna(1).clip(lower=0).astype("int64")
     t["tokens"] = [int(tokens.get(s, 0)) for s in t["source"]]
     t["blocks"] = -(-t["tokens"] // block)
-    whole = int(t["blocks"].sum()) if total_blocks is None else total_blocks
-    exact = t["target_share"] * whole
+    most = t["blocks"] * t["max_repeats"]
+    if total_blocks is None:
+        there = t["target_share"].where(most > 0, 0.0)
+        whole = longest(t["target_share"].tolist(), most.tolist())
+        exact = there / there.sum() * whole if there.sum() else there
+    else:
+        exact = t["target_share"] * total_blocks
     wanted = np.floor(exact).astype("int64")
     rest = (exact - wanted).sort_values(ascending=False, kind="stable").index[: int(round(exact.sum())) - int(wanted.sum())]
     wanted.loc[rest] += 1
     t["wanted"] = wanted
-    t["given"] = np.minimum(t["wanted"], t["blocks"] * t["max_repeats"])
+    if total_blocks is None:
+        # A source without documents would have its share of the same whole.
+        t.loc[most == 0, "wanted"] = (t["target_share"] * int(wanted.sum())).round().astype("int64")
+    t["given"] = np.minimum(t["wanted"], most)
     return t
 
 
-def drawn(given: np.ndarray, shard: int, seed: int = SEED) -> np.ndarray:
-    """Source counts of each shard (rows), drawn from the multinomial law given the totals."""
-    rng = np.random.default_rng(seed)
-    left, rows = given.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        n = min(shard, int(left.sum()))
-        rows.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
-        left -= rows[-1]
-    return np.asarray(rows, dtype=np.int64).reshape(len(rows), len(given))
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without return from good + bad are good, for totals of any size."""
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    if low >= high:
+        return low
+    if total <= EXACT_DRAW:
+        return int(rng.hypergeometric(good, bad, n))
+    # Whole numbers of any size in the mean, so no total loses its last digits.
+    mean = n * good // total
+    spread = (n / total * good * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    return min(max(mean + round(float(rng.standard_normal()) * spread), low), high)
+
+
+def split(given: list[int], n: int, key: tuple[int, ...]) -> list[int]:
+    """Source counts of a node's first ``n`` slots, given its totals: one hypergeometric draw after another."""
+    rng = np.random.default_rng(key)
+    out, left, need = [], sum(given), n
+    for g in given:
+        x = hypergeometric(rng, g, left - g, need)
+        out.append(x)
+        left, need = left - g, need - x
+    return out
+
+
+def shards_of(given: list[int], shard: int) -> int:
+    return -(-sum(given) // shard)
+
+
+def drawn(given: list[int], shard: int, low: int, high: int, seed: int = SEED) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, counts, counts of all shards before it) of the shards ``low`` to ``high`` - 1.
+
+    The walk goes down the tree over all shards, into nodes that touch the range only. All shards have ``shard`` slots but the last.
+    """
+    stack = [(0, shards_of(given, shard), list(given), [0] * len(given))]
+    while stack:
+        a, b, totals, before = stack.pop()
+        if b <= low or a >= high or a >= b:
+            continue
+        if b - a == 1:
+            yield a, totals, before
+            continue
+        mid = (a + b) // 2
+        left = split(totals, (mid - a) * shard, (seed, a, b))
+        right = [t - x for t, x in zip(totals, left, strict=True)]
+        stack.append((mid, b, right, [p + x for p, x in zip(before, left, strict=True)]))
+        stack.append((a, mid, left, before))
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -108,20 +170,19 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def slots(spark, plan: pd.DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def slots(spark: SparkSession, plan: pd.DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """(shard, slot, source, block, repeat): every output slot with the block that fills it.
 
-    The driver draws one row of counts for each shard; the slots are made from it in parallel.
+    Each task draws the counts of its own shards; the driver sends one number for each source.
     """
-    sources, blocks = plan["source"].tolist(), plan["blocks"].to_numpy()
-    counts = drawn(plan["given"].to_numpy(), shard, seed)
-    before = np.vstack([np.zeros((1, len(sources)), np.int64), np.cumsum(counts, axis=0)])[:-1] if len(counts) else counts
-    rows = pd.DataFrame({"shard": np.arange(len(counts)), "counts": [c.tolist() for c in counts], "before": [b.tolist() for b in before]})
-    frame = spark.createDataFrame(rows, "shard bigint, counts array<bigint>, before array<bigint>").repartition(max(1, min(parallelism(spark), len(rows))))
+    sources, blocks, given = plan["source"].tolist(), plan["blocks"].to_numpy(), [int(x) for x in plan["given"]]
+    n_shards = shards_of(given, shard)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for s, c, b in zip(pdf["shard"], pdf["counts"], pdf["before"], strict=True):
+            ids = pdf["id"].to_numpy()
+            # The numbers of a batch are a range.
+            for s, c, b in drawn(given, shard, int(ids[0]), int(ids[-1]) + 1, seed) if len(ids) else ():
                 c, b = np.asarray(c, np.int64), np.asarray(b, np.int64)
                 which = np.repeat(np.arange(len(c)), c)
                 j = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(b, c)
@@ -131,7 +192,7 @@ def slots(spark, plan: pd.DataFrame, shard: int = SHARD, seed: int = SEED) -> Da
                 order = np.random.default_rng([seed, int(s)]).permutation(len(which))
                 yield pd.DataFrame({"shard": int(s), "slot": order, "source": [sources[w] for w in which], "block": block, "repeat": again + 1})
 
-    return frame.mapInPandas(run, "shard bigint, slot bigint, source string, block bigint, repeat bigint")
+    return spark.range(0, n_shards, 1, max(1, min(parallelism(spark), n_shards))).mapInPandas(run, "shard bigint, slot bigint, source string, block bigint, repeat bigint")
 
 
 def _plan(documents: DataFrame, targets: DataFrame, block: int, total_blocks: int | None) -> tuple[pd.DataFrame, DataFrame]:
@@ -151,7 +212,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_bloc
     docs: array of (doc_id, from_token, to_token) that make up the block, in order. No block, and so no
     document, is used more than max_repeats times. A source that is too small gives what it has; the others
     keep their number of blocks (see :func:`report`). Empty texts have no tokens and are in no block; unlisted and
-    NULL sources are left out; no documents or no targets give no rows.
+    NULL sources are left out; no documents or no targets give no rows. ``total_blocks`` sets the length, see :func:`planned`.
     """
     plan, sized = _plan(documents, targets, block, total_blocks)
     spark = documents.sparkSession
@@ -175,6 +236,8 @@ def _span(block: int) -> list[Column]:
 def report(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_blocks: int | None = None) -> DataFrame:
     """Per listed source: target_share, max_repeats, tokens, blocks, wanted and given blocks, most_repeats, mixed_tokens, actual_share, met.
 
+    Without ``total_blocks`` every source with documents is met; with a longer whole the small ones fall short.
+
     The last block of a source may be shorter, so tokens are counted from the slots themselves. A target is met if its
     source gives all wanted blocks.
     """

@@ -69,6 +69,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"))
 
 
+def p7_shares_long(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached if the mix is to have a million blocks, more than the small sources can fill: some targets can't be met."""
+    return mixing.report(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), total_blocks=1_000_000)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.flagged(table(spark, d, "documents", "doc_id", "text"))
 
@@ -80,7 +85,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_within_reach, p2_unmatched, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids, p7_mix, p7_shares, p8_found, p8_shapes)}
+    return {f.__name__: f for f in (p2_found, p2_within_reach, p2_unmatched, p3_found, p4_found, p4_merged, p5_found, p5_turns, p6_ids, p7_mix, p7_shares, p7_shares_long, p8_found, p8_shapes)}
 
 
 P3 = """

@@ -40,3 +40,13 @@ def test_table(spark, public):
     got = {r.doc_id: r.ids for r in bpe.encode(df, "doc_id").collect()}
     assert got == {i: public.encode_ordinary(t or "") for i, t in enumerate(TEXTS[:-1])}
     assert bpe.encode(df.filter("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_rounds_and_heap_agree_on_both_sides_of_the_bound():
+    rng = random.Random(3)
+    v = bpe.vocabulary(bpe.read_ranks())
+    for n in (1, 2, 900, bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 3000):
+        for letters in ("ab", "aaaaab", "etaoinshrdlu"):
+            word = "".join(rng.choices(letters, k=n)).encode()
+            flat, ends = v.rounds([word])
+            assert ends.tolist() == [len(flat)] and flat.tolist() == v.one_long(word).tolist()

@@ -56,12 +56,53 @@ def test_permutations():
 
 
 def test_draws_meet_the_totals():
-    given = np.array([100, 0, 37])
-    d = mixing.drawn(given, 16)
-    assert (d.sum(axis=0) == given).all() and (d.sum(axis=1)[:-1] == 16).all() and (d == mixing.drawn(given, 16)).all()
+    given = [100, 0, 37]
+    rows = list(mixing.drawn(given, 16, 0, 99))
+    assert [r[0] for r in rows] == list(range(9)) and [sum(c) for _, c, _ in rows] == [16] * 8 + [9]
+    assert np.sum([c for _, c, _ in rows], axis=0).tolist() == given
+    before = np.zeros(3, int)
+    for _, c, b in rows:
+        assert b == before.tolist()
+        before += c
+    # A task that draws only its own shards gets the same ones.
+    assert [r for x in range(0, 9, 2) for r in mixing.drawn(given, 16, x, min(x + 2, 9))] == rows
+
+
+def test_draws_of_totals_beyond_any_sampler():
+    """A trillion blocks: any shard is reached in a few steps, sums are exact, shares are those of the totals."""
+    given = [10**12, 3 * 10**11, 7, 0]
+    n = mixing.shards_of(given, 1024)
+    for low in (0, n // 3, n - 3):
+        rows = list(mixing.drawn(given, 1024, low, low + 3))
+        assert [r[0] for r in rows] == [low, low + 1, low + 2] and all(sum(c) == 1024 for _, c, _ in rows[:2])
+        for (_, c, b), (_, _, after) in zip(rows, rows[1:], strict=False):
+            assert [x + y for x, y in zip(b, c, strict=True)] == after
+    last = rows[-1]
+    assert [x + y for x, y in zip(last[1], last[2], strict=True)] == given
+    counts = np.sum([c for _, c, _ in mixing.drawn(given, 1024, 10**6, 10**6 + 200)], axis=0)
+    assert abs(counts[0] / counts.sum() - 10 / 13) < 0.01
+
+
+def test_both_samplers_have_the_same_law(monkeypatch):
+    draw = lambda: [mixing.hypergeometric(np.random.default_rng([1, i]), 6000, 4000, 2000) for i in range(4000)]
+    exact = draw()
+    monkeypatch.setattr(mixing, "EXACT_DRAW", 100)
+    limit = draw()
+    assert abs(np.mean(exact) - np.mean(limit)) < 2 and abs(np.std(exact) / np.std(limit) - 1) < 0.05
+    assert all(mixing.hypergeometric(np.random.default_rng(i), 3, 200, 202) in (2, 3) for i in range(20))
+
+
+def test_the_longest_mix_meets_all_that_can_be(spark):
+    docs, targets, _ = tables(spark)
+    r = {x.source: x for x in mixing.report(docs, targets, block=16).collect()}
+    assert r["big"].met and r["small"].met and not r["absent"].met
+    assert abs(r["big"].actual_share - 0.5 / 0.9) < 0.05 and abs(r["small"].actual_share - 0.4 / 0.9) < 0.05
+    assert any(x.blocks * x.max_repeats - x.given <= 1 for x in r.values() if x.given), "none could be longer"
+    long = {x.source: x for x in mixing.report(docs, targets, block=16, total_blocks=1000).collect()}
+    assert not any(x.met for x in long.values()) and long["small"].given == 3 * long["small"].blocks
 
 
 def test_plan():
     t = pd.DataFrame({"source": ["a", "b", "c", None], "target_share": [0.5, 0.3, 0.2, 0.1], "max_repeats": [1, 2, None, 1]})
-    p = mixing.planned(t, {"a": 1000, "b": 100}, 10, None).set_index("source")
+    p = mixing.planned(t, {"a": 1000, "b": 100}, 10, 110).set_index("source")
     assert p.loc["a", "given"] == 55 and p.loc["b", "given"] == 20 and p.loc["c", "given"] == 0 and p["wanted"].sum() == 110
