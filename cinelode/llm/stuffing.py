@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +83,10 @@ def top_names(documents: DataFrame, text: str = "text") -> tuple[str, ...]:
 
     Public names are some thousands and no more come from one more text, so they are collected (refused beyond 100,000).
     """
-    host = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?:https?|hxxps?|ftp)://[^\s/:?#<>\"')\]]*?\.?([a-z]{2,24})(?=[/:?#\s<>\"')\]]|$)"), 1)))
-    found = documents.filter(F.col(text).contains("://")).select(host.alias("top")).groupBy("top").count().filter(F.col("count") >= LEAST_HOSTS).limit(100_001).collect()
+    hosts = F.regexp_extract_all(text, F.lit(r"(?i)(?:https?|hxxps?|ftp)://([^\s/:?#<>\"')\]]++)"), 1)
+    last = F.transform(hosts, lambda h: F.lower(F.substring_index(h, ".", -1)))
+    names = documents.filter(F.col(text).contains("://")).select(F.explode(F.array_distinct(last)).alias("top")).filter(F.col("top").rlike("^[a-z]{2,24}$"))
+    found = names.groupBy("top").count().filter(F.col("count") >= LEAST_HOSTS).limit(100_001).collect()
     if len(found) > 100_000:
         raise ValueError("too many top-level names")
     total = sum(r["count"] for r in found)
@@ -109,7 +111,7 @@ def bucket(n: int) -> str:
 
 def shape(piece: str, words: int, ends: bool, links: int, tags: bool, prices: int, clock: bool, repeats: int) -> str:
     """The shape of a piece. Its parts have 6 x 4 x 4 x 2 x 2 x 3 x 2 x 3 x 2 x 3 values, which bounds the number of shapes."""
-    caps = "all" if piece.isupper() else "none" if piece.islower() else "-" if piece.upper() == piece.lower() else "some"
+    caps = "all" if piece.isupper() else "none" if piece.islower() else "-" if piece.swapcase() == piece else "some"
     signs = ("." if ends else "") + ("#" if tags else "") + ("t" if clock else "") + ("9" if _DIGIT.search(piece) else "")
     return f"{bucket(words)}|{caps}|s{min(len(_SEPARATORS.intersection(piece)), 3)}|{signs}|l{min(links, 2)}|p{min(prices, 2)}|r{repeats}"
 
@@ -273,19 +275,26 @@ def shapes(documents: DataFrame, key: str = "doc_id", text: str = "text", tops:
     source = documents.select(key, F.col(text).cast("string").alias(text))
     known = top_names(source, text) if tops is None else tops
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                n: Counter[tuple[str, str]] = Counter()
-                chars: Counter[tuple[str, str]] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, kinds, names, n_pieces, n_chars = [0], [], [], [], []
+            for t in b.column(1).to_pylist():
+                seen: dict[tuple[str, str], list[int]] = {}
                 for k, s, c in judged(t, known) if t else ():
-                    n[k, s] += 1
-                    chars[k, s] += c
-                out.append([{"kind": k, "shape": s, "pieces": n[k, s], "chars": c} for (k, s), c in chars.items()])
-            yield pd.DataFrame({key: pdf[key], "shapes": out})
-
-    return source.mapInPandas(run, f"`{key}` {kind}, shapes array<struct<kind:string,shape:string,pieces:bigint,chars:bigint>>")
+                    one = seen.setdefault((k, s), [0, 0])
+                    one[0] += 1
+                    one[1] += c
+                for (k, s), (n, c) in seen.items():
+                    kinds.append(k)
+                    names.append(s)
+                    n_pieces.append(n)
+                    n_chars.append(c)
+                ends.append(len(kinds))
+            fields = {"kind": pa.array(kinds, pa.string()), "shape": pa.array(names, pa.string()), "pieces": pa.array(n_pieces, pa.int64()), "chars": pa.array(n_chars, pa.int64())}
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "shapes"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, shapes array<struct<kind:string,shape:string,pieces:bigint,chars:bigint>>")
 
 
 def _chars(kinds: tuple[str, ...]) -> Column:
