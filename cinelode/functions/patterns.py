@@ -80,3 +80,5 @@ PLAIN_ROLES = ("NARRATION", "NARRATOR")
 # Delivery.
 OVERRUN, SQUEEZED = 0.25, 1.01
 MAX_FACTOR, MAX_LEAD, BREATH = 1.35, 2.5, 0.15
+# Where speakers of an overlap are placed, first choice first.
+PANS = (-0.6, 0.6, -0.35, 0.35, -0.15, 0.15, 0.0)

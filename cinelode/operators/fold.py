@@ -62,3 +62,41 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
                 yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+class Scan:
+    """A fold that gives rows late: ``take`` a row and give what is finished, ``end`` with the rest."""
+
+    def take(self, row: tuple) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def stream_scan(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Scan], schema: str) -> DataFrame:
+    """Feed the rows (tuples in the order of ``df.columns``) of each group, sorted by ``order``, to a :class:`Scan` of its own.
+
+    Only a scan's own state is held, not its rows. NULL keys make a group.
+    """
+    columns = df.columns
+    at = [columns.index(k) for k in keys]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, scan, out = None, None, []
+        for pdf in batches:
+            for row in zip(*[pdf[c] for c in columns], strict=True):
+                k = tuple(None if row[i] != row[i] else row[i] for i in at)
+                if scan is None or k != key:
+                    if scan is not None:
+                        out += scan.end()
+                    key, scan = k, start()
+                out += scan.take(row)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if scan is not None and (out := scan.end()):
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

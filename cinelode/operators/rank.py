@@ -10,20 +10,43 @@ from pyspark.sql import functions as F
 def latest_by(df: DataFrame, key: list[str], at: str, columns: list[str]) -> DataFrame:
     """One row for each key, that with the latest ``at`` (NULL earliest), ties by the largest ``columns``.
 
-    One hash aggregation; repeats collapse, NULL keys are one group.
+    One aggregation with partial maxima (by sorting, as the structs hold strings); repeats collapse, NULL keys are one group.
     """
     m = df.groupBy(*key).agg(F.max(F.struct(at, *columns)).alias("__m"))
     return m.select(*key, *[F.col(f"__m.{c}").alias(c) for c in (at, *columns)])
 
 
-def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``, which must end in something unique."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+#: Sketch accuracy of the bracket around a median: it holds about four in so many of a key's values.
+BRACKET = 10_000
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, n): the exact median of each key's values (the mean of the middle two), NULLs and NaNs left out.
+
+    A mergeable sketch brackets the middle, with its rank error on both sides. Values below the bracket are only counted; those within it
+    are counted by value before the shuffle and ranked. So neither a hot key nor one over all rows is sorted in one task. No ``keys`` give one row.
+    """
+    keys_ = keys or ["__all"]
+    v = (df if keys else df.withColumn("__all", F.lit(0))).select(*keys_, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    edge = 2.0 / BRACKET
+    low_high = F.percentile_approx("__x", [0.5 - edge, 0.5 + edge], BRACKET)
+    around = v.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys_)]).agg(F.count(F.lit(1)).alias("n"), low_high.alias("__b"))
+    same = F.lit(True)
+    for i, k in enumerate(keys_):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    near = v.join(around if keys else F.broadcast(around), same).filter(F.col("__x") <= F.get("__b", 1))
+    below = F.col("__x") < F.get("__b", 0)
+    counted = near.groupBy(*keys_, "n", F.when(~below, F.col("__x")).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = W.partitionBy(*keys_).orderBy(F.asc_nulls_first("__x")).rowsBetween(W.unboundedPreceding, 0)
+    placed_ = counted.withColumn("__to", F.sum("__c").over(upto))
+    holds = lambda at: (F.col("__to") > at) & (F.col("__to") - F.col("__c") <= at)
+    left, right = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    middle = (F.max(F.when(holds(left), F.col("__x"))) + F.max(F.when(holds(right), F.col("__x")))) / 2
+    return placed_.groupBy(*keys_, "n").agg(middle.alias("median")).select(*keys, "median", "n")
 
 
 def extreme(df: DataFrame, key: list[str], order: list[tuple[str, bool]], keep: list[str], **more: Column) -> DataFrame:
-    """As :func:`first_of` for numeric orders, as one aggregation: (column, descending) pairs of numbers.
+    """The first row of each key in a numeric order, as one aggregation: (column, descending) pairs of numbers.
 
     Numbers are turned so that the smallest struct wins, with NULL last; pre-aggregated before the shuffle,
     so a hot key costs no more than any other. ``more`` are further aggregates.

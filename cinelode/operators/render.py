@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelode.functions import patterns as P
-from cinelode.operators.fold import stream_groups
+from cinelode.operators import ordered
+from cinelode.operators.fold import stream_fold
 
 # Pause between two lines read by one person, and how late one may start (ms).
 SOLO_GAP_MS, MAX_LAG_MS = 120, 2500
@@ -19,38 +20,35 @@ def queued(lines: DataFrame) -> DataFrame:
     """Lines of an episode read one after the other: episode_id, id, head_ms, late_ms, available_ms, factor.
 
     ``lines``: episode_id, st, id, window_ms, slack_ms, generated_ms. A line waits for the one before if that makes it no more than
-    MAX_LAG_MS late; what the queue eats comes off its room. The state is one number, so an episode streams through.
+    MAX_LAG_MS late; what the queue eats comes off its room. The state is the moment at which the reader is free. It lies no later than the longest
+    lag, the made length and the pause behind any earlier line, so where that has passed the queue begins anew and episodes are spread.
     """
+    rows = lines.select("episode_id", "st", "id", "window_ms", "slack_ms", "generated_ms")
+    free = rows.withColumn("__free", F.col("st") + MAX_LAG_MS + F.greatest("generated_ms", F.lit(0)) + SOLO_GAP_MS + 1)
+    cut = ordered.islands(free, ["episode_id"], F.col("st") > F.col("reach"), end="__free").drop("__free")
 
-    def solve(rows: list[tuple]) -> list[tuple]:
-        cursor, out = -1, []
-        for e, st, i, window, slack, made in rows:
-            head = st
-            if head < cursor and cursor - head <= MAX_LAG_MS:
-                head = cursor
-            late = head - st
-            room = max(0, window - late + max(0, slack - 150))
-            factor = min(made / room, P.MAX_FACTOR) if room > 200 and made > room else 1.0
-            cursor = head + math.floor(made / factor + 0.5) + SOLO_GAP_MS
-            out.append((e, i, head, late, room, factor))
-        return out
+    def step(cursor: list[int], row: tuple) -> tuple:
+        e, st, i, window, slack, made, _ = row
+        wait = cursor[0] - st if cursor else 0
+        late = wait if 0 < wait <= MAX_LAG_MS else 0
+        room = max(0, window - late + max(0, slack - 150))
+        factor = min(made / room, P.MAX_FACTOR) if room > 200 and made > room else 1.0
+        cursor[:] = [st + late + math.floor(made / factor + 0.5) + SOLO_GAP_MS]
+        return e, i, st + late, late, room, factor
 
-    rows = lines.select("episode_id", "st", "id", "window_ms", "slack_ms", "generated_ms")
-    return stream_groups(rows, ["episode_id"], ["st", "id"], solve, "episode_id bigint, id bigint, head_ms bigint, late_ms bigint, available_ms bigint, factor double")
+    return stream_fold(cut, ["episode_id", "island"], ["st", "id"], list, step, "episode_id bigint, id bigint, head_ms bigint, late_ms bigint, available_ms bigint, factor double")
 
 
 def ducked(frames: DataFrame, floor: float, falling: float, rising: float) -> DataFrame:
-    """One-pole gain per frame: quick down, slow up. ``frames``: episode_id, frame, speaking (boolean). Adds gain."""
+    """One-pole gain per frame: quick down, slow up. ``frames``: episode_id, frame, speaking (boolean). Adds gain. Only the gain itself is held."""
 
-    def solve(rows: list[tuple]) -> list[tuple]:
-        gain, out = 1.0, []
-        for e, f, on in rows:
-            want = floor if on else 1.0
-            gain = want + (gain - want) * (falling if want < gain else rising)
-            out.append((e, f, gain))
-        return out
+    def step(gain: list[float], row: tuple) -> tuple:
+        e, f, on = row
+        want = floor if on else 1.0
+        gain[0] = want + (gain[0] - want) * (falling if want < gain[0] else rising)
+        return e, f, gain[0]
 
-    return stream_groups(frames.select("episode_id", "frame", "speaking"), ["episode_id"], ["frame"], solve, "episode_id bigint, frame bigint, gain double")
+    return stream_fold(frames.select("episode_id", "frame", "speaking"), ["episode_id"], ["frame"], lambda: [1.0], step, "episode_id bigint, frame bigint, gain double")
 
 
 def densest_band(df: DataFrame, key: str, pitch: str, weight: str, band: float = 2.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cinelode.functions import patterns as P
 from cinelode.functions import score as S
 from cinelode.functions import text as T
+from cinelode.operators import rank
 from cinelode.operators import reconcile as R
 from cinelode.operators import render as O
 from cinelode.operators import script as C
@@ -50,7 +51,9 @@ RATE = f"{SPEECH}, {V.REPORTS}, w AS (SELECT s.id, {WORDS} AS n_words, r.generat
 def _rate(spark: SparkSession, d: str) -> DataFrame:
     s = speech(spark, d).select("id", T.word_count(F.col("text")).alias("n_words"))
     w = s.join(V.reports(spark, d).select("id", "generated"), "id").filter("n_words >= 3 and generated > 0.5")
-    return w.agg(F.coalesce(F.median(F.col("n_words") / F.col("generated")), F.lit(2.3)).alias("rate"), F.count(F.lit(1)).alias("sampled"))
+    mid = rank.medians(w.withColumn("rate", F.col("n_words") / F.col("generated")), [], "rate")
+    # No line at all leaves no row, and the usual rate.
+    return mid.agg(F.coalesce(F.max("median"), F.lit(2.3)).alias("rate"), F.coalesce(F.max("n"), F.lit(0)).alias("sampled"))
 
 
 @query(f"{RATE} SELECT round(rate, 6) AS rate, sampled FROM rate")
@@ -92,7 +95,7 @@ def w11_m11_queue(spark: SparkSession, d: str) -> DataFrame:
 def m09_m10_a24_gains(spark: SparkSession, d: str) -> DataFrame:
     """Gains held around the scene's median, and equal-power pan; levels are read from gain and generated."""
     r = V.reports(spark, d).filter("gain is not null and pan is not null")
-    mid = V.reports(spark, d).agg(F.median("gain").alias("mid"))  # one row
+    mid = rank.medians(V.reports(spark, d), [], "gain").agg(F.max("median").alias("mid"))  # one row
     r = r.join(F.broadcast(mid))
     pan = S.pan_gains(F.col("pan"))
     raw = S.wanted_level(F.col("gain"), F.col("generated"), F.col("mid"))
@@ -102,7 +105,10 @@ def m09_m10_a24_gains(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{REP} SELECT speaker, count(*) AS n_lines, round(median(gain), 6) AS habit, round(median(compression), 6) AS factor FROM reports WHERE speaker IS NOT NULL GROUP BY 1")
 def a24_habits(spark: SparkSession, d: str) -> DataFrame:
     """Median gain and factor of each speaker."""
-    return V.reports(spark, d).filter("speaker is not null").groupBy("speaker").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.median("gain"), 6).alias("habit"), F.round(F.median("compression"), 6).alias("factor"))
+    r = V.reports(spark, d).filter("speaker is not null").select("speaker", "gain", "compression")
+    n = r.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_lines"))
+    habit, factor = (rank.medians(r, ["speaker"], c).select("speaker", F.round("median", 6).alias(to)) for c, to in (("gain", "habit"), ("compression", "factor")))
+    return n.join(habit, "speaker", "left").join(factor, "speaker", "left").select("speaker", "n_lines", "habit", "factor")
 
 
 BANK = "bank0 AS (SELECT show_id, speaker, seconds, clips, CASE WHEN isnan(ratio) THEN NULL ELSE ratio END AS ratio, CASE WHEN isnan(pitch) THEN NULL ELSE pitch END AS pitch FROM bank)"
@@ -233,7 +239,7 @@ def w15_greedy_clips(spark: SparkSession, d: str) -> DataFrame:
 def a17_drift(spark: SparkSession, d: str) -> DataFrame:
     """Median heard against the reference pitch; what a line sounded at is read off its gain here, as the tables hold no pitch."""
     p = bank(spark, d).filter("pitch > 0").groupBy("speaker").agg(F.median("pitch").alias("reference"))
-    h = V.reports(spark, d).filter("speaker is not null and gain is not null").groupBy("speaker").agg((F.median("gain") * 180).alias("heard"), F.count(F.lit(1)).alias("n_lines"))
+    h = rank.medians(V.reports(spark, d).filter("speaker is not null and gain is not null"), ["speaker"], "gain").select("speaker", (F.col("median") * 180).alias("heard"), F.col("n").alias("n_lines"))
     off = (F.col("heard") - F.col("reference")) / F.col("reference") * 100
     return h.join(p, "speaker").select("speaker", "n_lines", F.round(off, 4).alias("drift"), (F.abs(off) > 20).alias("drifted"))
 

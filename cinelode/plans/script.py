@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cinelode.functions import patterns as P
 from cinelode.functions import text as T
-from cinelode.operators import casting, render
+from cinelode.operators import casting, ordered, render
 from cinelode.operators import script as O
 from cinelode.plans import views as V
 from cinelode.plans.base import query, quoted
@@ -162,7 +162,23 @@ def g01_overlap_cases(spark: SparkSession, d: str) -> DataFrame:
     return O.overlap_cases(speech(spark, d))
 
 
-@query()
+# Colouring as a recursion over the speakers of a case, busiest first; the state is the list of those placed.
+PALETTE = "[" + ", ".join(f"CAST({p} AS DOUBLE)" for p in (-0.6, 0.6, -0.35, 0.35, -0.15, 0.15, 0.0)) + "]"
+G02 = G01.replace("SELECT n.episode_id, g.id, n.overdub FROM g JOIN n USING (low)", "") + f""",
+o AS (SELECT n.episode_id, n.overdub, x.id, x.speaker, x.st, x.en FROM g JOIN n USING (low) JOIN x ON x.id = g.id),
+sp AS (SELECT DISTINCT episode_id, overdub, speaker FROM o WHERE speaker IS NOT NULL),
+cf AS (SELECT a.episode_id, a.overdub, a.speaker, list(DISTINCT b.speaker) AS others FROM o a JOIN o b ON a.episode_id = b.episode_id AND a.overdub = b.overdub AND a.speaker <> b.speaker AND a.st < b.en AND b.st < a.en GROUP BY 1, 2, 3),
+ra AS (SELECT sp.*, coalesce(cf.others, []) AS others, row_number() OVER (PARTITION BY sp.episode_id, sp.overdub ORDER BY len(coalesce(cf.others, [])) DESC, sp.speaker) AS k FROM sp LEFT JOIN cf ON cf.episode_id = sp.episode_id AND cf.overdub = sp.overdub AND cf.speaker = sp.speaker),
+pl AS (
+  SELECT episode_id, overdub, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(speaker VARCHAR, pan DOUBLE)[]) AS done FROM ra WHERE k = 1
+  UNION ALL
+  SELECT p.episode_id, p.overdub, r.k, list_append(p.done, {{'speaker': r.speaker, 'pan': coalesce(list_filter({PALETTE}, lambda v: len(list_filter(p.done, lambda q: list_contains(r.others, q.speaker) AND q.pan = v)) = 0)[1], CAST(0.0 AS DOUBLE))}})
+  FROM pl p JOIN ra r ON r.episode_id = p.episode_id AND r.overdub = p.overdub AND r.k = p.k + 1),
+pan AS (SELECT episode_id, overdub, done[-1].speaker AS speaker, done[-1].pan AS pan FROM pl WHERE k > 0)
+"""
+
+
+@query(G02 + "SELECT * FROM pan")
 def g02_conflict_pans(spark: SparkSession, d: str) -> DataFrame:
     s = speech(spark, d)
     return O.conflict_pans(s.join(O.overlap_cases(s).select("id", "overdub"), "id"))
@@ -191,9 +207,8 @@ def j12_nearest_solo(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{SPEECH} SELECT id, array_to_string(list(coalesce(text, '')) OVER (PARTITION BY episode_id ORDER BY st, id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|') AS before, array_to_string(list(coalesce(text, '')) OVER (PARTITION BY episode_id ORDER BY st, id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|') AS after FROM speech".replace("array_to_string(list", "coalesce(array_to_string(list").replace("'|') AS", "'|'), '') AS"))
 def w09_context(spark: SparkSession, d: str) -> DataFrame:
     """Two lines before and after each line."""
-    order = W.partitionBy("episode_id").orderBy("st", "id")
-    text = F.coalesce("text", F.lit(""))
-    return speech(spark, d).select("id", F.array_join(F.collect_list(text).over(order.rowsBetween(-2, -1)), "|").alias("before"), F.array_join(F.collect_list(text).over(order.rowsBetween(1, 2)), "|").alias("after"))
+    near = ordered.neighbours(speech(spark, d), ["episode_id"], F.coalesce("text", F.lit("")), 2, 2)
+    return near.select("id", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
 SURVEY = f"{SPEECH}, c AS (SELECT DISTINCT a.id FROM speech a JOIN speech b ON a.episode_id = b.episode_id AND a.id <> b.id AND a.st < b.en AND b.st < a.en AND (a.speaker IS NULL OR b.speaker IS NULL OR a.speaker <> b.speaker)), s AS (SELECT *, id NOT IN (SELECT id FROM c) AS solo FROM speech)"
@@ -283,7 +298,7 @@ def f17_speakable(spark: SparkSession, d: str) -> DataFrame:
     return casting.speakable(speech(spark, d).select("id", "text"), "text", {"harbour": "har-ber", "clerk": "clark"})
 
 
-@query()
+@query(G02 + "SELECT o.id, o.overdub, o.speaker, pan.pan FROM o LEFT JOIN pan ON pan.episode_id = o.episode_id AND pan.overdub = o.overdub AND pan.speaker = o.speaker")
 def j21_placements(spark: SparkSession, d: str) -> DataFrame:
     """Lines of overlap cases with the place resolved for their speaker."""
     s = speech(spark, d)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cinelode.operators import align, frames, rank, reconcile, render, script
+from cinelode.operators import align, frames, ordered, rank, reconcile, render, script
 from cinelode.plans.search import greedy_suffixes
 
 LINE = "id bigint, episode_id bigint, st bigint, en bigint, speaker string, text string, style string, is_group boolean"
@@ -123,3 +123,97 @@ def test_frames(spark):
     b = frames.bridged(t, "k", "on", 1)
     assert [r.bridged for r in b.orderBy("frame").collect()] == [True, False, False, True, True, True, True]
     assert [tuple(r) for r in frames.runs(b, "k", "bridged", 2).collect()] == [(1, 3, 6)]
+
+
+def test_running_values_over_buckets(spark):
+    df, rows = lines(spark, 200)
+    got = ordered.running(df, ["episode_id"], True, 5_000, who=("last", F.col("speaker")), top=("max", F.col("en")), n=("sum", F.lit(1)))
+    before = ordered.running(df, ["episode_id"], False, 5_000, top=("max", F.col("en")), n=("sum", F.lit(1)))
+    got, before = ({r.id: r for r in x.collect()} for x in (got, before))
+    for e in range(3):
+        who, top, n = None, None, 0
+        for r in sorted((r for r in rows if r[1] == e), key=lambda r: (r[2], r[0])):
+            assert (before[r[0]].top, before[r[0]].n) == (top, n)
+            who, top, n = r[4] or who, max(r[3], top or 0), n + 1
+            assert (got[r[0]].who, got[r[0]].top, got[r[0]].n) == (who, top, n)
+
+
+def test_neighbours_over_blocks(spark):
+    df, rows = lines(spark, 200)
+    got = {r.id: (r.before, r.after) for r in ordered.neighbours(df, ["episode_id"], F.col("id"), 2, 2, block=7).collect()}
+    for e in range(3):
+        ids = [r[0] for r in sorted((r for r in rows if r[1] == e), key=lambda r: (r[2], r[0]))]
+        for k, i in enumerate(ids):
+            assert got[i] == (ids[max(k - 2, 0) : k], ids[k + 1 : k + 3])
+    assert len(got) == 200
+
+
+def test_components_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(2, 30))
+        st = np.sort(rng.integers(0, 60, n))
+        en, who = st + rng.integers(0, 12, n), rng.integers(0, 3, n)
+        want = list(range(n))
+        for _ in range(n):
+            for i in range(n):
+                for j in range(i + 1, n):
+                    if en[i] > st[j] and who[i] != who[j]:
+                        want[i] = want[j] = min(want[i], want[j])
+        assert script.together(st, en, who).tolist() == want
+
+
+def test_merge_against_a_plain_fold(spark):
+    df, _ = lines(spark, 300, seed=9)
+    a = script.attributed(df)
+    rows = sorted(a.collect(), key=lambda r: (r.episode_id, r.st, r.id))
+    done = {}
+    for r in rows:
+        past = done.setdefault(r.episode_id, [])
+        near = [u for u in past[-3:] if u["who"] == r.who][-1:]
+        open_ = near and r.st - near[0]["en"] <= 600 and (r.continuation or near[0]["text"][-1:] not in ".!" and r.text[:1].islower())
+        if open_:
+            near[0].update(text=near[0]["text"] + " " + r.text, en=max(near[0]["en"], r.en), events=near[0]["events"] + 1)
+        else:
+            past.append({"id": r.id, "who": r.who, "text": r.text, "en": r.en, "events": 1})
+    want = {(u["id"], u["text"], u["en"], u["events"]) for x in done.values() for u in x}
+    assert {(r.first_id, r.text, r.en, r.events) for r in script.merged(a).collect()} == want and any(u[3] > 2 for u in want)
+
+
+def test_pans_keep_conflicts_apart(spark):
+    rows = [(1, 1, 0, 100, "A"), (2, 1, 50, 150, "B"), (3, 1, 120, 200, "C"), (4, 1, 140, 160, "A"), (5, 1, 300, 400, "D"), (6, 1, 0, 500, "E")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "id bigint, episode_id bigint, st bigint, en bigint, speaker string, overdub int")
+    got = {r.speaker: r.pan for r in script.conflict_pans(df).collect()}
+    # E overlaps all four; A, B and C overlap each other; D only E.
+    assert got == {"E": -0.6, "A": 0.6, "B": -0.35, "C": 0.35, "D": 0.6}
+    assert script.conflict_pans(df.limit(0)).count() == 0
+
+
+def test_an_episode_of_many_lines_is_spread(spark):
+    """One episode holds all lines: no task of the merge, the queue or the repeats holds more than a part of them."""
+    n = 60_000
+    df = spark.range(n).selectExpr("id", "7L episode_id", "id * 4000 st", "id * 4000 + 2500 en", "concat('S', id % 3) speaker", "if(id % 2 = 0, 'and', 'So.') text", "'Default' style", "false is_group", "2500L window_ms", "1000L slack_ms", "2600L generated_ms")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = ordered.islands(df, ["episode_id"], F.col("st") > F.col("reach") + 600)
+        sizes = [r["n"] for r in cut.repartition("episode_id", "island").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) < 0.6 * n
+        assert script.merged(script.attributed(df)).count() == n and render.queued(df).count() == n and script.kept_apart(df, ["episode_id", "text"], 15_000).count() < n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_medians(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, float("nan"), 1.0, 1.0, rng.random(), rng.gauss(0, 9)])) for _ in range(5000)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for k in {r[0] for r in rows}:
+        v = [x for g, x in rows if g == k and x is not None and x == x]
+        if v:
+            want[k] = (float(np.median(v)), len(v))
+    got = {r.k: (r["median"], r.n) for r in rank.medians(df, ["k"], "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    every = [x for _, x in rows if x is not None and x == x]
+    assert rank.medians(df, [], "v").first()["median"] == float(np.median(every))
+    assert rank.medians(df.limit(0), ["k"], "v").count() == 0 == rank.medians(df.limit(0), [], "v").count()
