@@ -25,6 +25,7 @@ EPISODE_TOKEN = r"(?i)s(\d{1,4})ep?(\d{1,4})"
 X_TOKEN = r"\b(\d{1,2})x(\d{1,3})\b"
 DOT_EPISODE = r"^(\d{1,2})\.(\d{1,3})(?:\s*-\s*|\s+)"
 DASH_EPISODE = r"^(?:\[[^\]]*\]\s*)*(.+?)\s*-\s*(?:[eE](\d{1,3})|(\d{2,3}))(?:\s*-\s*\d{2,3})?(?:\s*v\d+)?\s*(?:[\[\(]|\.[A-Za-z0-9]{2,4}$|$)"
+ABSOLUTE_DOT = r"(?i)^(.+?)\.(\d{2,3})(?:\.v\d+)?\.(?:2160p|1080p|720p|480p|bluray|brrip|bdrip|web-?dl|hdtv|x26[45]|h\.?26[45]|hevc)\b"
 SEASON_END = r"(?i)\bs(\d{1,2})\s*$"
 SEASON_FOLDER = r"(?i)\bseason\s*(\d{1,2})\b"
 SITE_PREFIX = r"(?i)^(?:\[[^\]]*\]|www\.?\S+|[\w-]+\.(?:org|com|net|to|io|me|tv|bz|mx)(?:\s*[-–—]+\s*|\s{2,}))"

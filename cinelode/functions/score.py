@@ -113,11 +113,6 @@ def gain_spread(raw: Column, centre: Column, spread: float = 2.5) -> Column:
     return F.least(F.greatest(raw, centre / spread), centre * spread)
 
 
-def squeeze_factor(generated: Column, available: Column) -> Column:
-    """How much a line must be sped up to fit its room: 1 .. MAX_FACTOR; 1 where there is hardly any room."""
-    return F.when((available > 0.2) & (generated > available), F.least(generated / available, F.lit(P.MAX_FACTOR))).otherwise(1.0)
-
-
 def room(window: Column, slack: Column) -> Column:
     """Seconds a line may take before it meets the next one."""
     return window + F.greatest(F.lit(0.0), slack - P.BREATH)

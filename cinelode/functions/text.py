@@ -94,15 +94,18 @@ def sanitize(c: Column) -> Column:
 def episode_of(name: Column, folder: Column, item: Column, item_is_title: bool = False) -> Column:
     """Struct show, season, episode, named (the name has an SxxEyy token), of_folder; show NULL if it is no episode.
 
-    Tried in order: SxxEyy, NxM, SS.EE, dashed absolute number. Without a season in the name it is that of
+    Tried in order: SxxEyy, NxM, SS.EE, absolute number behind a dash, absolute number between dots before a quality word. Without a season in the name it is that of
     the folder, else 1; a title that ends in OVA or special is season 0.
     """
     number = lambda c: c.try_cast("int")
 
     def parts(probe: Column) -> Column:
         dash = F.when(~F.regexp_extract(probe, P.DASH_EPISODE, 1).rlike(r"(?i)\b(?:vol|part|chapter)\.?$"), F.coalesce(found(probe, P.DASH_EPISODE, 2), found(probe, P.DASH_EPISODE, 3)))
-        which = F.when(probe.rlike(P.EPISODE_TOKEN), 1).when(probe.rlike(P.X_TOKEN), 2).when(probe.rlike(P.DOT_EPISODE), 3).when(dash.isNotNull(), 4)
-        return F.struct(probe.alias("probe"), which.alias("which"), dash.alias("dash"), F.when(which == 4, found(probe, P.DASH_EPISODE, 1)).alias("dash_show"))
+        dot = found(probe, P.ABSOLUTE_DOT, 2)
+        absolute = F.coalesce(dash, dot)
+        which = F.when(probe.rlike(P.EPISODE_TOKEN), 1).when(probe.rlike(P.X_TOKEN), 2).when(probe.rlike(P.DOT_EPISODE), 3).when(absolute.isNotNull(), 4)
+        shown = F.when(dash.isNotNull(), found(probe, P.DASH_EPISODE, 1)).otherwise(found(probe, P.ABSOLUTE_DOT, 1))
+        return F.struct(probe.alias("probe"), which.alias("which"), absolute.alias("dash"), F.when(which == 4, shown).alias("dash_show"))
 
     def counted(x: Column) -> Column:
         which, probe = x["which"], x["probe"]
@@ -238,11 +241,6 @@ def group_members(c: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
 
 
-def joins_sentence(before: Column, after: Column, same_style: Column) -> Column:
-    """Whether ``after`` goes on with the sentence that ``before`` leaves open."""
-    return same_style & ~before.rlike(P.SENTENCE_END) & after.rlike(P.CONTINUES)
-
-
 def cue_seconds(c: Column) -> Column:
     """'mm:ss:ff' (75 frames a second) in seconds; NULL if it isn't one."""
     g = lambda i: found(c, r"^\s*(\d+):(\d+):(\d+)\s*$", i).try_cast("double")

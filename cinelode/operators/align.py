@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinelode.functions import score as S
 from cinelode.functions import text as T
+from cinelode.operators import intervals
 
 # Shortest anchor, frames and reach in seconds, and what makes an offset sure.
 MIN_ANCHOR, FRAME, REACH, GUARD = 14, 0.05, 180.0, 2.0
@@ -41,10 +42,11 @@ def fits(pairs: DataFrame, pair: str = "episode_id") -> DataFrame:
     return first.join(second, pair)
 
 
-def activity(lines: DataFrame, key: str = "episode_id", width_ms: int = 50) -> DataFrame:
-    """(key, frame) for each frame that a line covers, once."""
-    low, high = F.floor(F.col("st") / width_ms), F.floor(F.col("en") / width_ms) - 1
-    return lines.filter(high >= low).select(key, F.explode(F.sequence(low, high)).alias("frame")).distinct()
+def covered(lines: DataFrame, key: str = "episode_id", width_ms: int = 50) -> DataFrame:
+    """(key, frames): how many frames of ``width_ms`` the key's lines cover, each once; from merged periods, so no line is taken apart into frames."""
+    spans = lines.select(key, F.floor(F.col("st") / width_ms).alias("s_ms"), F.floor(F.col("en") / width_ms).alias("e_ms"))
+    p = intervals.periods(spans, key, intervals.BUCKET_MS // width_ms)
+    return p.groupBy(key).agg(F.sum(F.col("period_end_ms") - F.col("period_start_ms")).alias("frames"))
 
 
 def correlate(moving: np.ndarray, fixed: np.ndarray, reach: int) -> tuple[int, float, float]:

@@ -67,3 +67,64 @@ def passable(frames: DataFrame, key: str, ratio: str = "ratio", least: float = 3
     """Frames whose ratio reaches the larger of ``least`` and the key's median; all frames of a key where none does."""
     mid = frames.groupBy(F.col(key).alias("__k")).agg(F.greatest(F.lit(least), F.median(ratio)).alias("__m"), F.max(ratio).alias("__top"))
     return frames.join(mid, F.col(key) == F.col("__k")).filter((F.col(ratio) >= F.col("__m")) | (F.col("__top") < F.col("__m"))).drop("__k", "__m", "__top")
+
+
+def clean(voice: Column, behind: Column, floor: float = 0.005, ratio: float = 10.0) -> Column:
+    """Whether a frame is a clean clip's: the voice is above ``floor`` and at least ``ratio`` times what is behind it."""
+    return (voice > floor) & (voice / (behind + 1e-6) >= ratio)
+
+
+# Frequency groups with their lowest edge in Hz, and the difference in dB that is large.
+BANDS = (("sub", 0), ("low", 120), ("voice", 400), ("upper voice", 1000), ("presence", 3400), ("air", 8000))
+LARGE_DB = 3.0
+
+
+def band(hertz: Column) -> Column:
+    """Name of the group that a frequency lies in; NULL below 0."""
+    out = F.when(hertz >= BANDS[-1][1], BANDS[-1][0])
+    for name, low in reversed(BANDS[:-1]):
+        out = out.when(hertz >= low, name)
+    return out
+
+
+def band_report(levels: DataFrame) -> DataFrame:
+    """(band, frames, delta, large) of levels (hertz, before, after in dB): the mean difference of each group, and whether it exceeds LARGE_DB."""
+    m = levels.withColumn("band", band(F.col("hertz"))).filter("band is not null and before is not null and after is not null")
+    m = m.groupBy("band").agg(F.count(F.lit(1)).alias("frames"), F.avg(F.col("after") - F.col("before")).alias("delta"))
+    return m.withColumn("large", F.abs("delta") > LARGE_DB)
+
+
+def stability(levels: DataFrame, key: str, speaking: str) -> DataFrame:
+    """(key, during, between): mean difference of levels (before, after in dB) while a line plays and while none does; keys without one of both are left out."""
+    delta = F.col("after") - F.col("before")
+    m = levels.groupBy(key).agg(F.avg(F.when(F.col(speaking), delta)).alias("during"), F.avg(F.when(~F.col(speaking), delta)).alias("between"))
+    return m.filter("during is not null and between is not null")
+
+
+def interpolated(gains: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, sample, gain): gains of frames (key, frame, gain) as a curve over samples, straight between the frames' middles and 1 beyond the first and last.
+
+    Each frame makes the samples up to the next middle; nothing but the next frame's gain is looked up.
+    """
+    half = width / 2.0
+    nxt = gains.select(F.col(key).alias("__k"), (F.col("frame") - 1).alias("__f"), F.col("gain").alias("__to"))
+    g = gains.join(nxt, F.col(key).eqNullSafe(F.col("__k")) & (F.col("frame") == F.col("__f")), "left").drop("__k", "__f")
+    middle = F.col("frame") * width + half
+    # Samples from this middle to the one before the next; the first frame also makes those before it, the last those behind it.
+    low = F.when(F.col("frame") == 0, 0).otherwise(F.ceil(middle)).cast("long")
+    high = F.when(F.col("__to").isNull(), (F.col("frame") + 1) * width - 1).otherwise(F.ceil(middle + width) - 1).cast("long")
+    s = g.withColumn("sample", F.explode(F.sequence(low, high)))
+    share = (F.col("sample") - middle) / width
+    inside = F.when(share < 0, 1.0).when(share == 0, F.col("gain")).when(F.col("__to").isNull(), 1.0).otherwise(F.col("gain") + share * (F.col("__to") - F.col("gain")))
+    return s.select(key, "sample", inside.alias("gain"))
+
+
+def crossfaded(original: Column, replaced: Column, weight: Column) -> Column:
+    """A sample between two versions: ``weight`` 0 is the original, 1 the replacement."""
+    return original * (1 - weight) + replaced * weight
+
+
+def normalised(samples: DataFrame, value: str, ceiling: float = 0.99) -> DataFrame:
+    """Samples scaled down so that the loudest stays under ``ceiling``; quieter ones stay as they are. One global maximum of one row."""
+    peak = samples.agg(F.max(F.abs(value)).alias("__peak"))
+    return samples.join(F.broadcast(peak)).withColumn(value, F.col(value) * F.when(F.col("__peak") > ceiling, ceiling / F.col("__peak")).otherwise(1.0)).drop("__peak")

@@ -97,8 +97,17 @@ def film_dir(df: DataFrame) -> DataFrame:
     return df.withColumn("folder", F.when(~dropped, T.sanitize(T.let(of_item, chosen))))
 
 
-def music_dirs(df: DataFrame) -> DataFrame:
-    """``artist``, ``album``, ``discs`` and ``is_music`` of an audio file; the deepest named folder is the album. NULL for other files."""
+def music_dirs(df: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """``artist``, ``album``, ``discs`` and ``is_music`` of an audio file; the deepest named folder is the album. NULL for other files.
+
+    ``sheets`` (item_id, performer, title, date; one row an item) state what a download's name only implies, and go before it.
+    """
+    told = lambda c: F.nullif(F.col(f"__{c}"), F.lit(""))
+    if sheets is None:
+        df = df.withColumns({f"__{c}": F.lit(None).cast(t) for c, t in (("performer", "string"), ("title", "string"), ("date", "int"))})
+    else:
+        s = sheets.select(F.col("item_id").alias("__sheet_of"), F.col("performer").alias("__performer"), F.col("title").alias("__title"), F.col("date").cast("int").alias("__date"))
+        df = df.join(s, F.col("item_id") == F.col("__sheet_of"), "left").drop("__sheet_of")
     dirs = F.filter(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda p: ~F.lower(p).isin(*P.MUSIC_JUNK_DIRS))
     named = F.get(F.reverse(F.filter(dirs, lambda p: ~p.rlike(P.DISC_DIR))), 0)
     discs = F.transform(F.filter(dirs, lambda p: p.rlike(P.DISC_DIR)), lambda p: F.format_string("CD %02d", F.regexp_extract(p, P.DISC_DIR, 1).cast("int")))
@@ -111,10 +120,11 @@ def music_dirs(df: DataFrame) -> DataFrame:
         whole = T.album_dir(F.coalesce(album, F.col("item")), year)
         return F.struct(T.sanitize(F.coalesce(artist, album, F.col("item"))).alias("artist"), T.sanitize(whole).alias("album"), F.coalesce(artist, album).isNotNull().alias("fine"))
 
-    both = F.struct(T.artist_album(F.col("item")).alias("item"), T.artist_album(named).alias("sub"))
+    item = T.let(T.artist_album(F.col("item")), lambda i: F.struct(F.coalesce(told("performer"), i["artist"]).alias("artist"), F.coalesce(told("title"), i["album"]).alias("album"), F.coalesce("__date", i["year"]).alias("year")))
+    both = F.struct(item.alias("item"), T.artist_album(named).alias("sub"))
     m = F.when(F.col("route") == "music", T.let(both, chosen))
     df = df.withColumns({"__m": m, "discs": discs})
-    return df.withColumns({"artist": F.col("__m.artist"), "album": F.col("__m.album"), "is_music": F.coalesce("__m.fine", F.lit(False))}).drop("__m")
+    return df.withColumns({"artist": F.col("__m.artist"), "album": F.col("__m.album"), "is_music": F.coalesce("__m.fine", F.lit(False))}).drop("__m", "__performer", "__title", "__date")
 
 
 def wanted(listed: DataFrame) -> DataFrame:
@@ -151,16 +161,41 @@ def first_source(rows: DataFrame) -> DataFrame:
     return extreme(rows, ["dest", "path"], order, keep, skipped=F.count(F.lit(1)) - 1)
 
 
-def canonical_folders(rows: DataFrame) -> DataFrame:
-    """(dest, folder, canon): folders that differ only in case or a year at the end, and the one to keep.
+YEAR_END = r"\s*\((?:19|20)\d{2}(?:-(?:19|20)\d{2})?\)$"
+
+
+def canonical_folders(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(dest, folder, canon, n, variants): folders of series and films that mean one title, and the one to keep.
 
-    A yeared variant wins, then the one with most files, then the first by name.
+    Folders mean one title if they differ only in case or a year at the end, or if ``aliases`` (variant, title; both
+    lower case) name them so, with the year or without. Of an aliased title the variant that is spelt like it wins, not in capitals if there is another; else a
+    yeared variant, then the one with most files, then the first by name. Music is left out.
     """
-    base = F.lower(F.regexp_replace("folder", r"\s*\((?:19|20)\d{2}(?:-(?:19|20)\d{2})?\)$", ""))
-    yeared = F.col("folder").rlike(r"\((?:19|20)\d{2}(?:-(?:19|20)\d{2})?\)$")
-    counts = rows.groupBy("dest", "folder").agg(F.count(F.lit(1)).alias("n")).withColumns({"base": base, "yeared": yeared})
-    best = counts.groupBy("dest", "base").agg(F.min(F.struct(~F.col("yeared"), F.when(~F.col("yeared"), -F.col("n")).otherwise(0), "folder")).alias("m"), F.count(F.lit(1)).alias("variants"))
-    return counts.join(best, ["dest", "base"]).select("dest", "folder", F.col("m.folder").alias("canon"), "n", "variants")
+    counts = rows.filter(F.col("dest").isin("tv", "movies")).groupBy("dest", "folder").agg(F.count(F.lit(1)).alias("n"))
+    bare = F.lower(F.regexp_replace("folder", YEAR_END, ""))
+    if aliases is None:
+        counts = counts.withColumn("aliased", F.lit(None).cast("string"))
+    else:
+        # One title for each variant; the first by name if the setting names several.
+        one = aliases.groupBy("variant").agg(F.min("title").alias("title"))
+        for c, k in (("__whole", F.lower("folder")), ("__bare", bare)):
+            counts = counts.withColumn("__key", k).join(one.select(F.col("variant").alias("__key"), F.col("title").alias(c)), "__key", "left").drop("__key")
+        counts = counts.withColumn("aliased", F.coalesce("__whole", "__bare")).drop("__whole", "__bare")
+    counts = counts.withColumns({"base": F.coalesce("aliased", bare), "yeared": F.col("folder").rlike(YEAR_END.removeprefix(r"\s*"))})
+    known = counts.groupBy("dest", "base").agg(F.max(F.col("aliased").isNotNull()).alias("known"))
+    spelt = F.col("known") & (F.lower("folder") == F.col("base"))
+    loud = F.col("folder") == F.upper("folder")
+    order = F.struct(~spelt, F.when(spelt, loud).otherwise(False), ~F.col("yeared"), F.when(~F.col("yeared"), -F.col("n")).otherwise(0), "folder")
+    best = counts.join(known, ["dest", "base"]).groupBy("dest", "base").agg(F.min(order)["folder"].alias("canon"), F.count(F.lit(1)).alias("variants"))
+    return counts.join(best, ["dest", "base"]).select("dest", "folder", "canon", "n", "variants")
+
+
+def merged_folders(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Entries with their folders renamed to the ones to keep. Paths that fall together have one source again only after :func:`first_source`."""
+    names = canonical_folders(rows, aliases).filter("folder <> canon").select(F.col("dest").alias("__d"), F.col("folder").alias("__f"), "canon")
+    joined = rows.join(names, (F.col("dest") == F.col("__d")) & (F.col("folder") == F.col("__f")), "left")
+    folder = F.coalesce("canon", "folder")
+    return joined.withColumn("folder", folder).drop("__d", "__f", "canon").withColumn("path", F.concat_ws("/", "folder", "rest"))
 
 
 def best_copies(rows: DataFrame) -> DataFrame:

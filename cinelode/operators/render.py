@@ -100,3 +100,40 @@ def placed(lines: DataFrame, pans: DataFrame) -> DataFrame:
     """Lines with the ``pan`` resolved for their case and speaker; NULL (the centre) where none is. pans: episode_id, overdub, speaker, pan."""
     p = pans.select(F.col("episode_id").alias("__e"), F.col("overdub").alias("__o"), F.col("speaker").alias("__s"), "pan")
     return lines.join(p, (F.col("episode_id") == F.col("__e")) & (F.col("overdub") == F.col("__o")) & (F.col("speaker") == F.col("__s")), "left").drop("__e", "__o", "__s")
+
+
+# The shade of a sign that is read out.
+SIGN_SHADE = {"pitch": -0.3, "pace": 1.05, "gain": 0.9}
+
+
+def nudged(lines: DataFrame) -> DataFrame:
+    """Lines with ``pitch``, ``pace`` and ``gain``: what the actor's tuning and the line's shade make together.
+
+    ``lines``: kind, role, lift, and tuning_ and shade_ columns of pitch, pace and gain (NULL: none). Pitch adds, pace and gain multiply. A sign has its own
+    shade, a role that is no narration its role's, a measured line none; ``lift`` goes before a shade's pitch. A line with none of these keeps the tuning.
+    """
+    role = F.coalesce((F.col("role") != "") & ~F.upper("role").isin(*P.PLAIN_ROLES), F.lit(False))
+    sign, measured = F.coalesce(F.col("kind") == "sign", F.lit(False)), F.col("lift").isNotNull()
+    plain = {"pitch": 0.0, "pace": 1.0, "gain": 1.0}
+    shade = {c: F.when(sign, SIGN_SHADE[c]).when(role, F.coalesce(f"shade_{c}", F.lit(n))).otherwise(n) for c, n in plain.items()}
+    base = {c: F.coalesce(f"tuning_{c}", F.lit(n)) for c, n in plain.items()}
+    none = ~sign & ~role & ~measured
+    return lines.withColumns({
+        "pitch": base["pitch"] + F.when(none, 0.0).otherwise(F.coalesce("lift", shade["pitch"])),
+        "pace": base["pace"] * F.when(none, 1.0).otherwise(shade["pace"]),
+        "gain": base["gain"] * F.when(none, 1.0).otherwise(shade["gain"]),
+    })
+
+
+#: A measured pan no farther from the centre has nothing to match.
+CENTRED = 0.15
+
+
+def auto_resolved(cases: DataFrame, pans: DataFrame) -> DataFrame:
+    """(episode_id, overdub, eligible): whether every measured pan of a case's speakers is near the centre; unmeasured speakers don't count against it.
+
+    cases: episode_id, overdub, speaker. pans: speaker, pan (NULL: not measured).
+    """
+    worst = pans.groupBy(F.col("speaker").alias("__s")).agg(F.max(F.abs("pan")).alias("__far"))
+    who = cases.select("episode_id", "overdub", "speaker").distinct().join(worst, F.col("speaker") == F.col("__s"), "left")
+    return who.groupBy("episode_id", "overdub").agg(F.every(F.coalesce(F.col("__far") <= CENTRED, F.lit(True))).alias("eligible"))

@@ -50,7 +50,7 @@ def m13_rates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{SPEECH} SELECT episode_id, count(DISTINCT frame) AS frames FROM (SELECT episode_id, unnest(generate_series(st // 50, en // 50 - 1)) AS frame FROM speech WHERE en // 50 > st // 50) GROUP BY 1")
 def x02_activity(spark: SparkSession, d: str) -> DataFrame:
     """Frames that a line covers, by episode."""
-    return A.activity(speech(spark, d)).groupBy("episode_id").agg(F.count(F.lit(1)).alias("frames"))
+    return A.covered(speech(spark, d))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelode.operators import frames as O
+from cinelode.operators import intervals
 from cinelode.operators import render as R
 from cinelode.plans.base import query
 from cinelode.plans.script import SPEECH, speech
@@ -104,8 +105,9 @@ def g04_mask(spark: SparkSession, d: str) -> DataFrame:
 def a19_during_between(spark: SparkSession, d: str) -> DataFrame:
     """Seconds of an episode during and between speech."""
     s = speech(spark, d).select("episode_id", F.floor(F.col("st") / 50).alias("head"), F.floor(F.col("en") / 50).alias("tail")).filter("tail - head >= 2")
-    on = s.select("episode_id", F.explode(F.sequence(F.floor(F.col("head") / 20), F.floor(F.col("tail") / 20))).alias("second")).distinct()
-    return on.groupBy("episode_id").agg((F.max("second") + 1).alias("seconds"), F.count(F.lit(1)).alias("during")).withColumn("between_", F.col("seconds") - F.col("during"))
+    on = intervals.periods(s.select("episode_id", F.floor(F.col("head") / 20).alias("s_ms"), (F.floor(F.col("tail") / 20) + 1).alias("e_ms")), "episode_id", 600)
+    during = F.sum(F.col("period_end_ms") - F.col("period_start_ms"))
+    return on.groupBy("episode_id").agg(F.max("period_end_ms").alias("seconds"), during.alias("during")).withColumn("between_", F.col("seconds") - F.col("during"))
 
 
 @query(f"{EMB}, b AS (SELECT chunk, CASE WHEN frame < 2 THEN 'low' WHEN frame < 6 THEN 'mid' ELSE 'high' END AS band, 20 * log10(rms + 1e-9) AS db FROM f) SELECT band, count(*) AS frames, round(avg(db), 4) AS db FROM b GROUP BY 1")

@@ -50,13 +50,16 @@ def pick(g: int) -> str:
     return f"CASE which WHEN 1 THEN {got('probe', P.EPISODE_TOKEN, g)} WHEN 2 THEN {got('probe', P.X_TOKEN, g)} WHEN 3 THEN {got('probe', P.DOT_EPISODE, g)} END"
 
 
+#: Written from the survey: a two- or three-digit number between dots, perhaps with a version, before a quality word.
+BETWEEN_DOTS = r"(?i)^(.+?)[.]([0-9]{2,3})(?:[.]v[0-9]+)?[.](?:(?:2160|1080|720|480)p|bluray|(?:br|bd)rip|web-?dl|hdtv|(?:x|h[.]?)26[45]|hevc)\b"
 VOL = r"(?i)\b(?:vol|part|chapter)\.?$"
 EPISODES = stages(
     "SELECT * FROM routed WHERE route = 'video'",
     {"probe": "replace(last_part, '_', ' ')", "looks_tv": has("name", P.TV), "stem": stem("last_part")},
-    {"dash": f"CASE WHEN NOT {has('regexp_extract(probe, ' + quoted(P.DASH_EPISODE) + ', 1)', VOL)} THEN coalesce({got('probe', P.DASH_EPISODE, 2)}, {got('probe', P.DASH_EPISODE, 3)}) END"},
+    {"dash0": f"CASE WHEN NOT {has('regexp_extract(probe, ' + quoted(P.DASH_EPISODE) + ', 1)', VOL)} THEN coalesce({got('probe', P.DASH_EPISODE, 2)}, {got('probe', P.DASH_EPISODE, 3)}) END"},
+    {"dash": f"coalesce(dash0, {got('probe', BETWEEN_DOTS, 2)})"},
     {"which": f"CASE WHEN {has('probe', P.EPISODE_TOKEN)} THEN 1 WHEN {has('probe', P.X_TOKEN)} THEN 2 WHEN {has('probe', P.DOT_EPISODE)} THEN 3 WHEN dash IS NOT NULL THEN 4 END"},
-    {"dash_show": f"CASE WHEN which = 4 THEN {got('probe', P.DASH_EPISODE, 1)} END"},
+    {"dash_show": f"CASE WHEN which = 4 THEN CASE WHEN dash0 IS NOT NULL THEN {got('probe', P.DASH_EPISODE, 1)} ELSE {got('probe', BETWEEN_DOTS, 1)} END END"},
     {"own": got("dash_show", P.SEASON_END), "of_folder0": got("folder_part", P.SEASON_FOLDER), "prefix": f"CASE which WHEN 1 THEN {cut('probe', P.EPISODE_TOKEN)} WHEN 2 THEN {cut('probe', P.X_TOKEN)} WHEN 4 THEN dash_show END"},
     *clean_show_steps("prefix", "prefix_show"),
     *clean_show_steps("item", "item_show"),
@@ -231,6 +234,20 @@ def f08_music_dirs(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", "artist", "album", F.array_join("discs", "/").alias("discs"))
 
 
+# Sheets, made by a rule of the item: every third download has one, some without a date or a performer.
+SHEETS = "CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN 'Sheet Artist ' || item_id % 5 END AS t_artist, CASE WHEN item_id % 3 = 0 THEN 'Sheet Album ' || item_id % 7 END AS t_album, CASE WHEN item_id % 3 = 0 AND item_id % 4 <> 0 THEN 1990 + item_id % 20 END AS t_year"
+SHEET_DIRS = MUSIC_DIRS.replace("SELECT * FROM routed", f"SELECT *, {SHEETS} FROM routed").replace("coalesce(s_artist, i_artist) ELSE i_artist END", "coalesce(s_artist, t_artist, i_artist) ELSE coalesce(t_artist, i_artist) END").replace("coalesce(s_album, i_album)", "coalesce(s_album, t_album, i_album)").replace("THEN s_year ELSE i_year END", "THEN s_year ELSE CAST(coalesce(t_year, i_year) AS INTEGER) END")
+
+
+@query(f"{BASE} SELECT id, artist, album FROM ({SHEET_DIRS}) WHERE coalesce(artist0, album0) IS NOT NULL")
+def f08_sheet_dirs(spark: SparkSession, d: str) -> DataFrame:
+    """Artist and album folders where cue sheets state what names only imply; the sheets are made by a rule of the item."""
+    i = F.col("item_id")
+    files = L.facts(L.media_files(V.listed(spark, d)))
+    sheets = files.select("item_id").distinct().filter(i % 3 == 0).select("item_id", F.when(i % 2 == 0, F.concat(F.lit("Sheet Artist "), (i % 5).cast("string"))).alias("performer"), F.concat(F.lit("Sheet Album "), (i % 7).cast("string")).alias("title"), F.when(i % 4 != 0, 1990 + i % 20).alias("date"))
+    return L.music_dirs(files, sheets).filter("is_music").select("id", "artist", "album")
+
+
 YEARED = r"\((?:19|20)\d{2}\)$"
 FILMS = stages(
     "SELECT * FROM facts WHERE no_tv",
@@ -276,28 +293,50 @@ def r02_t12_first_source(spark: SparkSession, d: str) -> DataFrame:
     return L.first_source(L.wanted(V.listed(spark, d))).select("dest", "path", "id", "skipped")
 
 
-@query(f"{FULL}, v AS (SELECT dest, folder, count(*) AS n FROM wanted GROUP BY ALL), b AS (SELECT *, lower({sub('folder', chr(92) + 's*' + chr(92) + '((?:19|20)' + chr(92) + 'd{2}(?:-(?:19|20)' + chr(92) + 'd{2})?' + chr(92) + ')$')}) AS base, {has('folder', chr(92) + '((?:19|20)' + chr(92) + 'd{2}(?:-(?:19|20)' + chr(92) + 'd{2})?' + chr(92) + ')$')} AS yeared FROM v) SELECT dest, folder, first_value(folder) OVER (PARTITION BY dest, base ORDER BY CAST(yeared AS INTEGER) DESC, CASE WHEN yeared THEN 0 ELSE -n END, folder) AS canon, n, count(*) OVER (PARTITION BY dest, base) AS variants FROM b")
+# Aliases of shows, as a setting: variant (lower case) to title (lower case).
+ALIASED = """al AS (SELECT variant, min(title) AS title FROM (SELECT lower(unnest(aliases)) AS variant, lower("show") AS title FROM season) WHERE variant IS NOT NULL AND title IS NOT NULL AND variant <> title GROUP BY 1)"""
+YEAR_SUFFIX = r"\s*\((?:19|20)[0-9]{2}(?:-(?:19|20)[0-9]{2})?\)$"
+FOLDERS = f"""{FULL}, {ALIASED}, v AS (SELECT dest, folder, count(*) AS n FROM wanted WHERE dest IN ('tv', 'movies') GROUP BY ALL),
+b0 AS (SELECT *, lower(regexp_replace(folder, '{YEAR_SUFFIX}', '')) AS bare, regexp_matches(folder, '{YEAR_SUFFIX}') AS yeared FROM v),
+b1 AS (SELECT b0.*, coalesce(w.title, x.title) AS aliased FROM b0 LEFT JOIN al w ON w.variant = lower(folder) LEFT JOIN al x ON x.variant = bare),
+b2 AS (SELECT *, coalesce(aliased, bare) AS base, max(CAST(aliased IS NOT NULL AS INTEGER)) OVER (PARTITION BY dest, coalesce(aliased, bare)) = 1 AND lower(folder) = coalesce(aliased, bare) AS spelt FROM b1),
+folders AS (SELECT dest, folder, first_value(folder) OVER (PARTITION BY dest, base ORDER BY CAST(spelt AS INTEGER) DESC, CASE WHEN spelt AND folder = upper(folder) THEN 1 ELSE 0 END, CAST(yeared AS INTEGER) DESC, CASE WHEN yeared THEN 0 ELSE -n END, folder) AS canon, n, count(*) OVER (PARTITION BY dest, base) AS variants FROM b2),
+moved AS (SELECT w.* REPLACE (coalesce(f.canon, w.folder) AS folder, coalesce(f.canon, w.folder) || '/' || w.rest AS path) FROM wanted w LEFT JOIN folders f ON f.dest = w.dest AND f.folder = w.folder)"""
+
+
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "season", "show", "aliases").select(F.explode(F.transform("aliases", F.lower)).alias("variant"), F.lower("show").alias("title"))
+    return s.filter("variant is not null and title is not null and variant <> title")
+
+
+@query(f"{FOLDERS} SELECT * FROM folders")
 def a04_a05_r03_folders(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of folder names with their counts and the one to keep."""
-    return L.canonical_folders(L.wanted(V.listed(spark, d)))
+    """Variants of folder names with their counts and the one to keep, aliases of shows included."""
+    return L.canonical_folders(L.wanted(V.listed(spark, d)), _aliases(spark, d))
+
+
+@query(f"{FOLDERS} SELECT dest, path, id, skipped FROM (SELECT *, row_number() OVER (PARTITION BY dest, path ORDER BY kind_ord, lossy, item_id, id) AS r, count(*) OVER (PARTITION BY dest, path) - 1 AS skipped FROM moved) WHERE r = 1")
+def r03_merged_library(spark: SparkSession, d: str) -> DataFrame:
+    """The library after folders are merged: paths that fall together have one source again."""
+    return L.first_source(L.merged_folders(L.wanted(V.listed(spark, d)), _aliases(spark, d))).select("dest", "path", "id", "skipped")
 
 
 QSCORE = f"CASE WHEN contains(f, 'remux') THEN -1000 WHEN {has('f', P.UPSCALE)} THEN -2000 ELSE (CASE WHEN contains(f, '2160p') THEN 4 WHEN contains(f, '1080p') THEN 3 WHEN contains(f, '720p') THEN 2 WHEN contains(f, '480p') THEN 1 ELSE 0 END) * 100 + CASE WHEN {has('f', 'blu-?ray')} THEN 10 ELSE 0 END + CASE WHEN {has('f', P.HDR)} THEN 5 ELSE 0 END - CASE WHEN {has('f', P.FOREIGN)} AND NOT {has('f', P.WITH_ORIGINAL)} THEN 30 ELSE 0 END END"
-T01 = f"""{FULL}, q AS (SELECT *, lower(folder) AS title, CAST(regexp_extract(rest, '^Season (\\d+)/', 1) AS INTEGER) AS season, CAST(regexp_extract(regexp_extract(rest, '/(.*)$', 1), {quoted(P.EPISODE_TOKEN)}, 2) AS INTEGER) AS episode, lower(regexp_extract(rest, '/(.*)$', 1)) AS f
-  FROM wanted WHERE dest = 'tv' AND regexp_matches(rest, '^Season \\d+/[^/]+$') AND {has('rest', P.EPISODE_TOKEN)}),
+T01 = f"""{FOLDERS}, q AS (SELECT *, lower(folder) AS title, CAST(regexp_extract(rest, '^Season (\\d+)/', 1) AS INTEGER) AS season, CAST(regexp_extract(regexp_extract(rest, '/(.*)$', 1), {quoted(P.EPISODE_TOKEN)}, 2) AS INTEGER) AS episode, lower(regexp_extract(rest, '/(.*)$', 1)) AS f
+  FROM moved WHERE dest = 'tv' AND regexp_matches(rest, '^Season \\d+/[^/]+$') AND {has('rest', P.EPISODE_TOKEN)}),
 s AS (SELECT *, CAST({QSCORE} AS INTEGER) AS score FROM q)
 SELECT title, season, episode, id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY title, season, episode ORDER BY score DESC, kind_ord, item_id, id) AS r FROM s) WHERE r = 1"""
 
 
 @query(T01)
 def t01_m01_best_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """The best copy of each episode: the flagship."""
-    return L.best_copies(L.wanted(V.listed(spark, d))).select(F.col("show").alias("title"), "season", "episode", "id", "item_id", "score")
+    """The best copy of each episode, variants of a show's folder taken together: the flagship."""
+    return L.best_copies(L.merged_folders(L.wanted(V.listed(spark, d)), _aliases(spark, d))).select(F.col("show").alias("title"), "season", "episode", "id", "item_id", "score")
 
 
-@query(f"{FULL}, s AS (SELECT *, CAST({QSCORE} AS INTEGER) AS score FROM (SELECT *, lower(rest) AS f FROM wanted WHERE dest = 'movies' AND NOT contains(rest, '/'))) SELECT folder, id, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, kind_ord, item_id, id) AS r FROM s) WHERE r = 1")
+@query(f"{FOLDERS}, s AS (SELECT *, CAST({QSCORE} AS INTEGER) AS score FROM (SELECT *, lower(rest) AS f FROM moved WHERE dest = 'movies' AND NOT contains(rest, '/'))) SELECT folder, id, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, kind_ord, item_id, id) AS r FROM s) WHERE r = 1")
 def t02_best_films(spark: SparkSession, d: str) -> DataFrame:
-    return L.best_films(L.wanted(V.listed(spark, d))).select("folder", "id", "score")
+    return L.best_films(L.merged_folders(L.wanted(V.listed(spark, d)), _aliases(spark, d))).select("folder", "id", "score")
 
 
 # The tables list no images, so every file stands for one, with a name made for it and its size brought into the range of covers.

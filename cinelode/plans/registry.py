@@ -50,7 +50,7 @@ SELECT episode_id, min(s) AS period_start_ms, max(e) AS period_end_ms FROM n GRO
 
 
 #: Modules whose queries are registered.
-MODULES = ("library", "search", "script", "render", "align", "frames", "formats")
+MODULES = ("library", "search", "script", "render", "align", "frames", "formats", "records")
 
 
 def _load() -> None:

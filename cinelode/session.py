@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows of text cost more to work on than their bytes suggest: small inputs keep several tasks.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -46,10 +47,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_written: list[tuple[str, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from there. :func:`release` deletes what was written."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append((spark.sparkContext.applicationId, file.get()))
+    return out
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the checkpoints of this session's results, which must all have been used; gives their number.
+
+    Results are lazy, so only their user knows when that is. Clusters may instead set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as sessions of :func:`build` do.
+    """
+    app = spark.sparkContext.applicationId
+    mine = [f for a, f in _written if a == app]
+    for f in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [(a, f) for a, f in _written if a != app]
+    return len(mine)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -23,6 +23,13 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def successful(listing: DataFrame) -> DataFrame:
+    """Rows of a listing's ``data``; a listing that doesn't say ``success`` raises when it is read, instead of standing for an empty one."""
+    fail = F.raise_error(F.concat(F.lit("listing failed: "), F.coalesce("detail", F.lit("no detail"))))
+    fine = F.when(F.coalesce("success", F.lit(False)), F.col("data")).otherwise(fail)
+    return listing.select(F.explode(fine).alias("row")).select("row.*")
+
+
 def with_link(releases: DataFrame) -> DataFrame:
     """Search results that have a magnet or a download link ('' counts as none)."""
     link = F.coalesce(F.nullif("magnetUrl", F.lit("")), F.nullif("downloadUrl", F.lit("")))
@@ -148,11 +155,25 @@ def compatible(s: pd.Series) -> pd.Series:
 
 
 def wav_chunks(files: DataFrame, chunk: int = 16_000) -> DataFrame:
-    """16-bit PCM of ``path``, ``content``: path, rate, channels, chunk, samples (mono, mean of channels). Other data is dropped."""
+    """PCM of 8, 16, 24 or 32 bits and 32- or 64-bit floats of ``path``, ``content``: path, rate, channels, chunk, samples (mono, mean of channels). Other data is dropped."""
     import struct
 
     import numpy as np
 
+    def three(b: bytes) -> np.ndarray:
+        x = np.frombuffer(b, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((x[:, 0] << 8 | x[:, 1] << 16 | x[:, 2] << 24) >> 8) / 2.0**23
+
+    # Fixed values: (format, bits) of a header, and how its samples are read.
+    known = {
+        (1, 8): lambda b: (np.frombuffer(b, np.uint8).astype(np.float64) - 128) / 128,
+        (1, 16): lambda b: np.frombuffer(b, "<i2") / 2.0**15,
+        (1, 24): three,
+        (1, 32): lambda b: np.frombuffer(b, "<i4") / 2.0**31,
+        (3, 32): lambda b: np.frombuffer(b, "<f4").astype(np.float64),
+        (3, 64): lambda b: np.frombuffer(b, "<f8"),
+    }
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, b in zip(pdf["path"], pdf["content"], strict=True):
@@ -167,15 +188,21 @@ def wav_chunks(files: DataFrame, chunk: int = 16_000) -> DataFrame:
                     elif name == b"data":
                         data = b[at + 8 : at + 8 + size]
                     at += 8 + size + size % 2
-                if not fmt or data is None or fmt[0] != 1 or fmt[5] != 16:
+                if not fmt or data is None or (fmt[0], fmt[5]) not in known or not fmt[1]:
                     continue
-                x = np.frombuffer(data[: len(data) // (2 * fmt[1]) * 2 * fmt[1]], "<i2").reshape(-1, fmt[1]).mean(axis=1) / 32768
+                step = fmt[5] // 8 * fmt[1]
+                x = known[fmt[0], fmt[5]](data[: len(data) // step * step]).reshape(-1, fmt[1]).mean(axis=1)
                 parts = [x[i : i + chunk].astype("float32").tolist() for i in range(0, len(x), chunk)]
                 yield pd.DataFrame({"path": path, "rate": fmt[2], "channels": fmt[1], "chunk": range(len(parts)), "samples": parts})
 
     return files.select("path", "content").mapInPandas(run, "path string, rate int, channels int, chunk int, samples array<float>")
 
 
+def disagreeing(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, rates): keys whose files have different sample rates, which can't be mixed or compared frame by frame."""
+    return chunks.groupBy(key).agg(F.array_sort(F.collect_set("rate")).alias("rates")).filter(F.size("rates") > 1)
+
+
 def image_kind(content: Column) -> Column:
     """jpeg, png or webp by the first bytes, else NULL."""
     head = F.hex(F.substring(content, 1, 3))

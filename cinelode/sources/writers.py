@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +47,33 @@ def subtitle_text(lines: DataFrame, key: str, shift_ms: int = 0, kind: str = "sr
     return ordered.select(key, F.concat(F.array_join(F.transform("l", one), "\n"), F.lit("\n")).alias("text"))
 
 
-def commit_report(report: DataFrame, artefact: DataFrame, folder: str) -> None:
-    """Write the report first, then what it describes; readers go by the marker that each finished table carries."""
-    report.write.mode("overwrite").parquet(f"{folder}/report")
-    artefact.write.mode("overwrite").parquet(f"{folder}/artefact")
+def commit_report(report: DataFrame, artefact: DataFrame, folder: str) -> str:
+    """Write the report, then what it describes, each into a new version's folder, and last the manifest that names the version.
+
+    Readers go by :func:`committed`, so until the manifest stands they see the version before, whole. Returns the version.
+    """
+    spark = report.sparkSession
+    version = uuid.uuid4().hex
+    report.write.parquet(f"{folder}/{version}/report")
+    artefact.write.parquet(f"{folder}/{version}/artefact")
+    # The manifest is one small file, written aside and renamed into place.
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside, there = path(f"{folder}/aside-{version}"), path(f"{folder}/manifest")
+    out = fs.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fs.delete(there, False)
+    if not fs.rename(aside, there):
+        raise OSError(f"the manifest of {folder} could not be put in place")
+    return version
+
+
+def committed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(report, artefact) of the version that the manifest names."""
+    version = spark.read.text(f"{folder}/manifest", wholetext=True).first().value
+    return spark.read.parquet(f"{folder}/{version}/report"), spark.read.parquet(f"{folder}/{version}/artefact")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

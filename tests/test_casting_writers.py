@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from cinelode.functions import text as T
 from cinelode.operators import casting as C
+from cinelode.operators import library as L
 from cinelode.sources import readers as R
 from cinelode.sources import writers as W
 
@@ -38,7 +41,7 @@ def test_writers(spark, tmp_path):
     assert sorted(map(tuple, W.read_map(spark, str(tmp_path / "m"), "pitch:double,clips:int", "speaker").collect())) == [("BEAR", None, 1), ("OTTER", 1.5, 3)]
     assert W.worksheet_lines(m, "speaker", ["clips"]).collect()[0].value == '{"speaker":"OTTER","clips":3}'
     W.commit_report(m, q, str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r/report")).count() == 2
+    assert W.committed(spark, str(tmp_path / "r"))[0].count() == 2
     assert {r.name for r in W.listing(spark, str(tmp_path / "r"), "_SUCCESS").collect()} <= {"_SUCCESS"}
 
 
@@ -73,3 +76,64 @@ def test_small_lookups(spark):
     lines = spark.createDataFrame([(1, 1, 0, "A"), (2, 1, 0, "B"), (3, 1, None, "A")], "id int, episode_id int, overdub int, speaker string")
     pans = spark.createDataFrame([(1, 0, "A", -0.6)], "episode_id int, overdub int, speaker string, pan double")
     assert sorted((x.id, x.pan) for x in render.placed(lines, pans).collect()) == [(1, -0.6), (2, None), (3, None)]
+
+
+def test_a_report_stands_only_once_its_manifest_does(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "r")
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    first = W.commit_report(one, one, folder)
+    broken = one.withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        W.commit_report(one.withColumn("id", F.lit(2)), broken, folder)
+    report, artefact = W.committed(spark, folder)
+    assert report.first().id == 1 == artefact.first().id
+    second = W.commit_report(one.withColumn("id", F.lit(3)), one, folder)
+    assert first != second and W.committed(spark, folder)[0].first().id == 3
+
+
+def test_checkpoints_are_released(spark):
+    from cinelode import session
+
+    session.release(spark)
+    df = session.cut(spark.range(5))
+    assert df.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
+
+
+def test_a_failed_listing_is_no_empty_one(spark):
+    schema = "success boolean, detail string, data array<struct<id:bigint>>"
+    fine = spark.createDataFrame([(True, None, [(1,), (2,)])], schema)
+    assert R.successful(fine).count() == 2
+    with pytest.raises(Exception, match="rate limit"):
+        R.successful(spark.createDataFrame([(False, "rate limit", [])], schema)).collect()
+
+
+def test_sample_formats(spark):
+    import struct
+
+    def wav(kind, bits, data, rate=8000):
+        fmt = struct.pack("<HHIIHH", kind, 1, rate, rate * bits // 8, bits // 8, bits)
+        body = b"WAVE" + b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    files = [("u8", wav(1, 8, bytes([128, 192, 64]))), ("i16", wav(1, 16, struct.pack("<3h", 0, 16384, -16384))), ("i24", wav(1, 24, b"\0\0\0\0\0\x40\0\0\xc0")), ("i32", wav(1, 32, struct.pack("<3i", 0, 2**30, -(2**30)))), ("f32", wav(3, 32, struct.pack("<3f", 0, 0.5, -0.5), 16000)), ("odd", wav(2, 4, b"x"))]
+    df = R.wav_chunks(spark.createDataFrame(files, "path string, content binary"))
+    got = {r.path: [round(x, 6) for x in r.samples] for r in df.collect()}
+    assert got == dict.fromkeys(("u8", "i16", "i24", "i32", "f32"), [0.0, 0.5, -0.5])
+    assert R.disagreeing(df.withColumn("k", F.lit(1)), "k").first().rates == [8000, 16000] and R.disagreeing(df, "path").count() == 0
+
+
+def test_absolute_numbers_between_dots(spark):
+    names = ["Show.Name.53.v2.1080p.WEB.mkv", "Show.Name.53.mkv", "Show.Name.7.1080p.mkv", "Show.Name.S02.101.720p.mkv"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(T.episode_of(F.col("n"), F.lit(""), F.lit("Item")).alias("e"))
+    assert [(r.e.show, r.e.season, r.e.episode) for r in df.collect()] == [("Show Name", 1, 53), (None, None, None), (None, None, None), ("Show Name", 2, 101)]
+
+
+def test_folders_of_one_title(spark):
+    rows = [("tv", "rick and morty", 3), ("tv", "Rick and Morty", 2), ("tv", "Fallout", 9), ("tv", "Fallout (2024)", 1), ("tv", "STAR ANDOR", 1), ("tv", "ANDOR", 5), ("tv", "Andor", 1), ("music", "a/x", 1), ("music", "A/x", 1)]
+    files = [(d, f, f"r{i}", f"{f}/r{i}") for d, f, n in rows for i in range(n)]
+    df = spark.createDataFrame(files, "dest string, folder string, rest string, path string")
+    aliases = spark.createDataFrame([("star andor", "andor")], "variant string, title string")
+    got = {r.folder: r.canon for r in L.canonical_folders(df, aliases).collect()}
+    assert got == {"rick and morty": "rick and morty", "Rick and Morty": "rick and morty", "Fallout": "Fallout (2024)", "Fallout (2024)": "Fallout (2024)", "STAR ANDOR": "Andor", "ANDOR": "Andor", "Andor": "Andor"}
+    merged = L.merged_folders(df, aliases)
+    assert merged.count() == len(files) and {r.folder for r in merged.filter("dest = 'tv'").select("folder").distinct().collect()} == {"rick and morty", "Fallout (2024)", "Andor"}

@@ -217,3 +217,45 @@ def test_medians(spark):
     every = [x for _, x in rows if x is not None and x == x]
     assert rank.medians(df, [], "v").first()["median"] == float(np.median(every))
     assert rank.medians(df.limit(0), ["k"], "v").count() == 0 == rank.medians(df.limit(0), [], "v").count()
+
+
+def test_correlated_and_decided(spark):
+    rng = random.Random(1)
+    rows, at = [], 0
+    for i in range(80):
+        at += rng.randrange(700, 6000)
+        rows.append((1, i, at, at + rng.randrange(300, 2500), f"words {i}"))
+    a = spark.createDataFrame(rows, "episode_id bigint, id bigint, st bigint, en bigint, text string")
+    b = a.withColumns({"st": F.col("st") + 5000, "en": F.col("en") + 5000})
+    c = align.correlated(a, b).first()
+    assert abs(c.shift_ms - 5000) <= 50 and c.peak > 0.9 and c.margin > 0.05
+    fit = "episode_id bigint, n bigint, middle double, slope double, cross double, span double, scatter double, residual double"
+    fits = spark.createDataFrame([(1, 9, 2.0, 0.0, 2.0, 100.0, 0.1, 0.1), (2, 9, 30.0, 0.0427, 0.0, 1300.0, 9.0, 0.1), (3, 3, 9.0, 0.0, 9.0, 10.0, 0.0, 0.0), (4, 9, 1.0, 0.0, 1.0, 10.0, 5.0, 5.0)], fit)
+    shifts = spark.createDataFrame([(1, 0, 0.1, 0.0), (3, -4750, 0.5, 0.2), (4, 100, 0.2, 0.2), (5, 200, 0.3, 0.06)], "episode_id bigint, shift_ms bigint, peak double, margin double")
+    got = {r.episode_id: (r.how, r.offset, r.rate) for r in align.decided(fits, shifts).collect()}
+    assert got[1] == ("text", 2.0, None) and got[2][:2] == ("rate", 30.0) and got[2][2] is not None
+    assert got[3] == ("activity", -4.75, None) and got[4] == ("none", None, None) and got[5] == ("activity", 0.2, None)
+
+
+def test_clean_frames_bands_and_curves(spark):
+    f = spark.createDataFrame([(0.006, 0.0), (0.004, 0.0), (0.1, 0.02), (0.1, 0.009)], "v double, b double")
+    assert [r[0] for r in f.select(frames.clean(F.col("v"), F.col("b"))).collect()] == [True, False, False, True]
+    h = spark.createDataFrame([(0.0,), (119.9,), (120.0,), (999.0,), (1000.0,), (3400.0,), (8000.0,), (-1.0,)], "h double")
+    assert [r[0] for r in h.select(frames.band(F.col("h"))).collect()] == ["sub", "sub", "low", "voice", "upper voice", "presence", "air", None]
+    g = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.6), (1, 2, 0.4)], "k int, frame int, gain double")
+    got = [r.gain for r in frames.interpolated(g, "k", 4).orderBy("sample").collect()]
+    want = np.interp(np.arange(12), np.arange(3) * 4 + 2.0, [0.2, 0.6, 0.4], left=1.0, right=1.0)
+    assert np.allclose(got, want)
+
+
+def test_nudges(spark):
+    cols = "kind string, role string, lift double, tuning_pitch double, tuning_pace double, tuning_gain double, shade_pitch double, shade_pace double, shade_gain double"
+    rows = [("sign", "BEAR", None, 1.0, 1.1, 1.0, 5.0, 5.0, 5.0), ("speech", "Narrator", None, 1.0, 1.1, None, 5.0, 5.0, 5.0), ("speech", "BEAR", 0.5, 1.0, None, None, -0.5, 0.9, 1.2), ("speech", None, 0.5, None, None, None, 9.0, 9.0, 9.0)]
+    got = [(round(r.pitch, 6), round(r.pace, 6), round(r.gain, 6)) for r in render.nudged(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [(0.7, 1.155, 0.9), (1.0, 1.1, 1.0), (1.5, 0.9, 1.2), (0.5, 1.0, 1.0)]
+
+
+def test_auto_resolve_by_case(spark):
+    cases = spark.createDataFrame([(1, 0, "A"), (1, 0, "B"), (1, 1, "A"), (1, 1, "C"), (1, 2, "D")], "episode_id bigint, overdub int, speaker string")
+    pans = spark.createDataFrame([("A", 0.1), ("B", -0.15), ("C", 0.1), ("C", -0.2), ("D", None)], "speaker string, pan double")
+    assert {(r.overdub, r.eligible) for r in render.auto_resolved(cases, pans).collect()} == {(0, True), (1, False), (2, True)}
