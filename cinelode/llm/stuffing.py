@@ -109,10 +109,10 @@ def bucket(n: int) -> str:
     return str(n) if n < 4 else "4-7" if n < 8 else "8-15" if n < 16 else "16+"
 
 
-def shape(piece: str, words: int, ends: bool, links: int, tags: bool, prices: int, clock: bool, repeats: int) -> str:
+def shape(piece: str, words: int, ends: bool, links: int, tags: bool, prices: int, clock: bool, repeats: int, digit: bool = True) -> str:
     """The shape of a piece. Its parts have 6 x 4 x 4 x 2 x 2 x 3 x 2 x 3 x 2 x 3 values, which bounds the number of shapes."""
     caps = "all" if piece.isupper() else "none" if piece.islower() else "-" if piece.swapcase() == piece else "some"
-    signs = ("." if ends else "") + ("#" if tags else "") + ("t" if clock else "") + ("9" if _DIGIT.search(piece) else "")
+    signs = ("." if ends else "") + ("#" if tags else "") + ("t" if clock else "") + ("9" if digit and _DIGIT.search(piece) else "")
     return f"{bucket(words)}|{caps}|s{min(len(_SEPARATORS.intersection(piece)), 3)}|{signs}|l{min(links, 2)}|p{min(prices, 2)}|r{repeats}"
 
 
@@ -127,6 +127,9 @@ class Piece(NamedTuple):
     tags: bool = False
     prices: int = 0
     clock: bool = False
+    #: The folded words of a sentence, and whether the piece may hold a digit.
+    said: list[str] | None = None
+    digit: bool = True
 
 
 #: Top-level names where no corpus tells any.
@@ -183,10 +186,11 @@ def pieces(text: str, tops: tuple[str, ...] = NO_NAMES) -> list[Piece]:
             s = s.strip()
             if not s:
                 continue
-            n = len(_WORD.findall(s))
+            said = _WORD.findall(fold(s))
+            n = len(said)
             ends = _ENDS.search(s)
             is_sentence = ends and (n >= 2 or _UNSPACED.search(s)) or not ends and n >= 4 and "。" in s
-            put(Piece("sentence" if is_sentence else "bare", s, n, ends=bool(is_sentence), links=len(links) and len(link.findall(s)), prices=len(prices) and len(_PRICE.findall(s))))
+            put(Piece("sentence" if is_sentence else "bare", s, n, ends=bool(is_sentence), links=len(links) and len(link.findall(s)), prices=len(prices) and len(_PRICE.findall(s)), said=said, digit=bool(digits)))
     for i, alone in enumerate(lone):
         if alone:
             for j in (i - 1, i + 1):
@@ -200,7 +204,7 @@ def judged(text: str, tops: tuple[str, ...] = NO_NAMES) -> list[tuple[str, str,
     """(first look, shape, characters) of a page's pieces, with bare lists and stuffed sentences told apart by what the page repeats."""
     found = pieces(text, tops)
     listed = repeats_itself([p.text for p in found if p.kind == "bare"])
-    shares = stuffing([p.text for p in found if p.kind == "sentence"])
+    shares = stuffing([p.said for p in found if p.kind == "sentence"])
     out, at = [], 0
     for p in found:
         k, repeats = p.kind, 0
@@ -210,7 +214,7 @@ def judged(text: str, tops: tuple[str, ...] = NO_NAMES) -> list[tuple[str, str,
             at += 1
         elif k == "bare":
             k, repeats = ("keyword", 2) if listed else ("title", 0)
-        out.append((k, shape(p.text, p.words, p.ends, p.links, p.tags, p.prices, p.clock, repeats), len(p.text)))
+        out.append((k, shape(p.text, p.words, p.ends, p.links, p.tags, p.prices, p.clock, repeats, p.digit), len(p.text)))
     return out
 
 
@@ -231,12 +235,11 @@ def repeats_itself(bare: list[str]) -> bool:
     return total >= 6 and len(words) > 1 and (back >= LIST_SHARE * total or twice >= LIST_SHARE * total)
 
 
-def stuffing(sentences: list[str]) -> list[float]:
-    """Share of each sentence that stuffed phrases cover; empty if the page has none to speak of.
+def stuffing(said: list[list[str]]) -> list[float]:
+    """Share of each sentence (its folded words) that stuffed phrases cover; empty if the page has none to speak of.
 
     A stuffed phrase comes twice within a sentence, in STUFFED_SENTENCES sentences or more, and all of them cover STUFFED_SHARE of the words.
     """
-    said = [_WORD.findall(fold(p)) for p in sentences]
     hot: Counter[tuple[str, ...]] = Counter()
     for s in said:
         if len(s) - len(set(s)) < 2:
