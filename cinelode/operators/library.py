@@ -10,6 +10,7 @@ from cinelode.functions import patterns as P
 from cinelode.functions import score as S
 from cinelode.functions import text as T
 from cinelode.operators.rank import extreme
+from cinelode.session import cut
 
 
 def unnested(items: DataFrame) -> DataFrame:
@@ -182,16 +183,21 @@ def canonical_folders(rows: DataFrame, aliases: DataFrame | None = None) -> Data
             counts = counts.withColumn("__key", k).join(one.select(F.col("variant").alias("__key"), F.col("title").alias(c)), "__key", "left").drop("__key")
         counts = counts.withColumn("aliased", F.coalesce("__whole", "__bare")).drop("__whole", "__bare")
     counts = counts.withColumns({"base": F.coalesce("aliased", bare), "yeared": F.col("folder").rlike(YEAR_END.removeprefix(r"\s*"))})
-    known = counts.groupBy("dest", "base").agg(F.max(F.col("aliased").isNotNull()).alias("known"))
-    spelt = F.col("known") & (F.lower("folder") == F.col("base"))
+    # One row a folder; a title has few.
+    title = W.partitionBy("dest", "base")
+    spelt = F.max(F.col("aliased").isNotNull()).over(title) & (F.lower("folder") == F.col("base"))
+    counts = counts.withColumn("__spelt", spelt)
     loud = F.col("folder") == F.upper("folder")
-    order = F.struct(~spelt, F.when(spelt, loud).otherwise(False), ~F.col("yeared"), F.when(~F.col("yeared"), -F.col("n")).otherwise(0), "folder")
-    best = counts.join(known, ["dest", "base"]).groupBy("dest", "base").agg(F.min(order)["folder"].alias("canon"), F.count(F.lit(1)).alias("variants"))
-    return counts.join(best, ["dest", "base"]).select("dest", "folder", "canon", "n", "variants")
+    order = F.struct(~F.col("__spelt"), F.when(F.col("__spelt"), loud).otherwise(False), ~F.col("yeared"), F.when(~F.col("yeared"), -F.col("n")).otherwise(0), "folder")
+    return counts.withColumns({"canon": F.min(order).over(title)["folder"], "variants": F.count(F.lit(1)).over(title)}).select("dest", "folder", "canon", "n", "variants")
 
 
 def merged_folders(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Entries with their folders renamed to the ones to keep. Paths that fall together have one source again only after :func:`first_source`."""
+    """Entries with their folders renamed to the ones to keep. Paths that fall together have one source again only after :func:`first_source`.
+
+    The entries are written once, as they are counted before they are renamed.
+    """
+    rows = cut(rows)
     names = canonical_folders(rows, aliases).filter("folder <> canon").select(F.col("dest").alias("__d"), F.col("folder").alias("__f"), "canon")
     joined = rows.join(names, (F.col("dest") == F.col("__d")) & (F.col("folder") == F.col("__f")), "left")
     folder = F.coalesce("canon", "folder")

@@ -45,15 +45,24 @@ def running(df: DataFrame, keys: list[str], inclusive: bool, bucket_ms: int = BU
     return both.withColumns(out).select(*df.columns, *wanted)
 
 
-def islands(df: DataFrame, keys: list[str], apart: Column, end: str = "en", bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """``df`` with ``island``: the start of the stretch that a line lies in.
+def islands(df: DataFrame, keys: list[str], apart: Column, end: str = "en", bucket_ms: int = 60_000) -> DataFrame:
+    """``df`` with ``island``: the number of the stretch that a line lies in, from 0 within ``keys``.
 
-    ``apart`` tells, from ``reach`` (the latest end of all earlier lines) and the line, whether a new stretch begins. Stretches are
-    independent for every operator that looks no farther back than ``apart`` allows.
+    A new stretch begins with a time bucket whose first start is ``apart`` (an expression of ``st`` and ``reach``, the latest end of all earlier
+    buckets, that holds for every later start too). Stretches are independent for every operator that looks no farther back than that allows. Only one
+    row of each bucket is put in order.
     """
-    reached = running(df, keys, False, bucket_ms, reach=("max", F.col(end)))
-    begins = F.when(F.col("reach").isNull() | apart, F.col("st"))
-    return running(reached, keys, True, bucket_ms, island=("last", begins)).drop("reach")
+    rows = df.withColumn("__bucket", F.floor(F.col("st") / bucket_ms))
+    names = [f"__k{i}" for i in range(len(keys))]
+    one = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__bucket").alias("__b")).agg(F.min("st").alias("st"), F.max(end).alias("__end"))
+    order = W.partitionBy(*names).orderBy("__b")
+    begins = F.coalesce(apart, F.lit(False)).cast("int")
+    one = one.withColumn("reach", F.max("__end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    one = one.withColumn("island", F.sum(begins).over(order.rowsBetween(W.unboundedPreceding, 0))).select(*names, "__b", "island")
+    same = F.col("__bucket") == F.col("__b")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(one, same).select(*df.columns, "island")
 
 
 def following(points: DataFrame, key: str, starts: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
