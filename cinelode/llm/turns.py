@@ -4,12 +4,13 @@ Lines are range-partitioned and sorted on (episode, start, id), so an episode ma
 partitions, and then read once:
 
 1. A line is cut into segments by the names in it. A name is a noisy emission of a speaker: an exact role
-   or actor has that speaker alone, a misspelt one has every speaker whose name is little farther than the nearest, at a cost
+   or actor has its bearers alone (they are the ones named), a misspelt one has every speaker of the show, at a cost
    for each error. Texts are cleaned. Segments are written to the shared folder.
 2. A hidden Markov model of each show is learnt from the segments that name exactly one speaker: language
-   profiles, how often speakers talk, and how often the speaker changes.
-3. Viterbi decoding with back pointers between sure names. A segment without a name emits nothing and its state
-   is bound to the one before (an unnamed line continues the line before it). Partitions first give
+   profiles, those of the unnamed segments behind them, how often speakers talk, and how often the speaker changes,
+   also from one partition to the next.
+3. Viterbi decoding with back pointers between sure names. The state of a segment without a name is bound to the one
+   before (an unnamed line continues the line before it), so its words are emitted by that state. Partitions first give
    the score transfer over the one or two episodes that cross their edges; these are composed in
    partition order, so each partition is then decoded with the states that hold at its edges.
 
@@ -23,7 +24,8 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +43,7 @@ BUCKETS = 64
 SMOOTH = 1.0
 #: Log-odds against an error in a written name (a letter is wrong about once in 50).
 ERROR_COST = 4.0
-#: Speakers whose names are so many errors farther than the nearest one may be meant too.
+#: :meth:`Cast.named` lists speakers whose names are up to so many errors farther than the nearest one. The model weighs all of them.
 MARGIN = 2
 #: Scores are kept in whole parts of a nat; below them a number made of the line's id and the speaker decides equal ones.
 UNIT = 1_000_000
@@ -122,7 +124,7 @@ class Cast:
         self.label, self.behind = _label(2 * longest + 32)
 
     def _whole(self, words: list[str], fuzzy: bool) -> dict[int, int]:
-        """Speakers that the words may mean, with the errors in them: exact ones alone; else, if a name is within the allowed distance, all up to MARGIN errors farther."""
+        """Speakers that the words may mean, with the errors in them: exact ones alone; else, if a name is within the allowed distance, all of the show."""
         k = "".join(words)
         hit = self.exact.get(k) or self.part.get(k)
         if hit:
@@ -130,14 +132,41 @@ class Cast:
         if not fuzzy or len(k) < 4:
             return {}
         limit = allowed(len(k))
-        near = [e for name, e in self._within(k, limit) if e <= 1 or e * 10 <= len(name) * 4]
-        if not near:
+        if not any(e <= 1 or e * 10 <= len(name) * 4 for name, e in self._within(k, limit)):
             return {}
+        return self._errors(k)
+
+    @cached_property
+    def _counted(self) -> tuple[list[str], dict[str, int], np.ndarray]:
+        """All names, numbers of their letters, and how often each letter is in each name (a column more for other letters)."""
+        names = [*self.exact, *self.part]
+        alphabet = {c: i for i, c in enumerate(sorted({c for name in names for c in name}))}
+        counts = np.zeros((len(names), len(alphabet) + 1), dtype=np.int32)
+        for i, name in enumerate(names):
+            for c in name:
+                counts[i, alphabet[c]] += 1
+        return names, alphabet, counts
+
+    def _errors(self, k: str) -> dict[int, int]:
+        """The fewest errors between ``k`` and a name of each speaker; one whose names have no letters is all letters of ``k`` away.
+
+        An error changes the letters that are missing or too many by one at most, so names that can't be nearer than one already seen are left out.
+        """
+        names, alphabet, counts = self._counted
+        own = np.zeros(counts.shape[1], dtype=np.int32)
+        for c in k:
+            own[alphabet.get(c, -1)] += 1
+        extra = counts - own
+        least = np.maximum(np.maximum(extra, 0).sum(axis=1), np.maximum(-extra, 0).sum(axis=1))
         found: dict[int, int] = {}
-        for name, e in self._within(k, min(near) + MARGIN):
-            for s in self.exact.get(name) or self.part[name]:
-                found[s] = min(found.get(s, e), e)
-        return found
+        for at, bound in zip(np.argsort(least, kind="stable").tolist(), np.sort(least).tolist(), strict=True):
+            name = names[at]
+            who = [s for s in self.exact.get(name) or self.part[name] if found.get(s, bound + 1) > bound]
+            if who:
+                e = distance(k, name, max(len(k), len(name)))
+                for s in who:
+                    found[s] = min(found.get(s, e), e)
+        return {s: found.get(s, len(k)) for s in range(len(self.speakers))}
 
     def _within(self, k: str, limit: int) -> Iterator[tuple[str, int]]:
         """Names within ``limit`` errors of ``k``."""
@@ -169,8 +198,9 @@ class Cast:
         return (), ()
 
     def named(self, label: str, fuzzy: bool = True) -> tuple[int, ...]:
-        """Speakers that ``label`` may mean, fewest errors first."""
-        return self.meant(label, fuzzy)[0]
+        """Speakers that ``label`` may mean, fewest errors first; of a misspelt one only the nearest."""
+        who, errors = self.meant(label, fuzzy)
+        return tuple(s for s, e in zip(who, errors, strict=True) if e <= errors[0] + MARGIN)
 
 
 def clean(text: str) -> str:
@@ -281,17 +311,19 @@ def read_bank(bank: DataFrame) -> dict[int, list[tuple[str, str | None]]]:
     return dict(out)
 
 
-#: who: a speaker's number in the cast of ``show``, NONE or SEVERAL (then cands and errors tell which). Rows with who <= COUNTS hold
-#: counts to learn from instead: of a speaker's words (show, cands: his number and buckets, errors: lines and counts) or of changes.
+#: who: a speaker's number in the cast of ``show``, NONE or SEVERAL (then cands and errors tell which). ``words`` stand at SEVERAL, and at NONE
+#: where the name before isn't sure or isn't in the partition. Rows with who <= COUNTS hold counts to learn from instead: of a speaker's words
+#: (show, cands: the speaker's number and buckets, errors: lines and counts), of unnamed words behind a sure name (BEHIND, alike) or ahead of any name of the
+#: partition (AHEAD, buckets and counts), of changes, or (ENDS) the first and the last name of the partition (cands: 0 or 1, who).
 SEGMENT = "part int, episode_id bigint, id bigint, show int, who int, cands array<int>, errors array<int>, words array<int>, text string"
-NONE, SEVERAL, COUNTS, CHANGES = -1, -2, -3, -4
+NONE, SEVERAL, COUNTS, CHANGES, ENDS, BEHIND, AHEAD = -1, -2, -3, -4, -5, -6, -7
 
 
 def parsed(lines: DataFrame, bank: dict[int, list[tuple[str, str | None]]], with_text: bool) -> DataFrame:
     """Segments (columns of SEGMENT) of all lines that count, in the global order (episode, start, id); repeats of a line once.
 
     Lines of other kinds, of groups, without usable time or spoken words are left out. Each partition ends in
-    rows of counts over its sure segments, at most BUCKETS for a row of the bank.
+    rows of counts over its sure segments and unnamed ones behind them, at most twice BUCKETS for a row of the bank, and its first and last name.
     """
     counts = lines.filter((F.col("kind") == "speech") & (F.col("is_group") == F.lit(False)))
     order = ["episode_id", "s_ms", "id"]
@@ -303,35 +335,51 @@ def parsed(lines: DataFrame, bank: dict[int, list[tuple[str, str | None]]], with
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         casts: dict[int | None, Cast] = {None: Cast([])}
         heard: dict[tuple[int, int], np.ndarray] = {}
+        behind: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, dtype=np.int64))
+        ahead: dict[tuple[int | None, int], np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, dtype=np.int64))
         moves: dict[int, list[int]] = {}
-        before, last, part = None, None, 0
+        before, first, last, part = None, None, None, 0
+        open_ = True  # whether the words of a segment without a name can tell who was named before
         for pdf in batches:
             rows = []
             part = int(pdf["part"].iloc[0]) if len(pdf) else part
             for e, i, show, label, text in zip(pdf["episode_id"], pdf["id"], pdf["show_id"], pdf["speaker"], pdf["text"], strict=True):
+                e = int(e) if e == e and e is not None else None
+                if before is not None and before[0] != e:
+                    open_ = False
                 if before == (before := (e, i, label, text)):
                     continue  # an exact repeat
                 key = int(show) if show == show and show is not None else None
                 if key not in casts:
                     casts[key] = Cast(shared.value[key]) if key in shared.value else casts[None]
                 for who, errors, said in cut_up(text, label, casts[key]):
-                    one = len(who) == 1
-                    words = profile_words(said) if who else None
+                    one, several = len(who) == 1, len(who) > 1
+                    words = profile_words(said)
+                    here = who[0] if one else SEVERAL if several else NONE
                     if one:
-                        n = heard.get((key, who[0]))
+                        n = heard.get((key, here))
                         if n is None:
-                            n = heard[key, who[0]] = np.zeros(BUCKETS + 1, dtype=np.int64)
+                            n = heard[key, here] = np.zeros(BUCKETS + 1, dtype=np.int64)
                         n[BUCKETS] += 1
                         np.add.at(n, words, 1)
-                        if last is not None and last[:2] == (e, key):
-                            moves.setdefault(key, [0, 0])[last[2] != who[0]] += 1
-                        last = (e, key, who[0])
-                    several = len(who) > 1
-                    rows.append((part, e, i, key, who[0] if one else SEVERAL if several else NONE, who if several else None, errors if several else None, words if several else None, said if with_text else None))
+                        if last is not None and last[:2] == (e, key) and last[2] >= 0:
+                            moves.setdefault(key, [0, 0])[last[2] != here] += 1
+                    if who:
+                        open_, last = several, (e, key, here)
+                        first = first or last
+                    elif key in shared.value:
+                        if last is None and open_:
+                            np.add.at(ahead[e, key], words, 1)
+                        elif last is not None and last[:2] == (e, key) and last[2] >= 0:
+                            np.add.at(behind[key, last[2]], words, 1)
+                    rows.append((part, e, i, key, here, who if several else None, errors if several else None, words if several or not who and open_ else None, said if with_text else None))
             if rows:
                 yield frame(rows)
         told = [(part, None, None, show, COUNTS, (who, *np.flatnonzero(n[:BUCKETS]).tolist()), (int(n[BUCKETS]), *n[:BUCKETS][n[:BUCKETS] > 0].tolist()), None, None) for (show, who), n in heard.items()]
         told += [(part, None, None, show, CHANGES, (0, 1), tuple(n), None, None) for show, n in moves.items()]
+        told += [(part, None, None, show, BEHIND, (who, *np.flatnonzero(n).tolist()), (0, *n[n > 0].tolist()), None, None) for (show, who), n in behind.items()]
+        told += [(part, e, None, show, AHEAD, tuple(np.flatnonzero(n).tolist()), tuple(n[n > 0].tolist()), None, None) for (e, show), n in ahead.items()]
+        told += [(part, e, None, show, ENDS, (at, who), None, None, None) for at, (e, show, who) in enumerate((first, last) if first else ())]
         if told:
             yield frame(told)
 
@@ -343,9 +391,10 @@ def parsed(lines: DataFrame, bank: dict[int, list[tuple[str, str | None]]], with
 
 
 class Model(NamedTuple):
-    """What is learnt of one show, in whole parts of a nat (times SPREAD): profile[speaker][bucket], share[speaker], and the logs of staying and changing."""
+    """What is learnt of one show, in whole parts of a nat (times SPREAD): profile[speaker][bucket], behind[speaker][bucket] for segments without a name, share[speaker], and the logs of staying and changing."""
 
     profile: dict[int, np.ndarray]
+    behind: dict[int, np.ndarray]
     share: dict[int, int]
     stay: int
     change: int
@@ -353,10 +402,6 @@ class Model(NamedTuple):
     flat: int
     rare: int
 
-    def emits(self, who: int, errors: int, words: list[int]) -> int:
-        p = self.profile.get(who)
-        return -round(ERROR_COST * UNIT) * SPREAD * errors + (int(p[words].sum()) if p is not None and len(words) else self.flat * len(words))
-
     def begins(self, who: int) -> int:
         return self.share.get(who, self.rare)
 
@@ -365,32 +410,52 @@ def whole(x: float) -> int:
     return round(math.log(x) * UNIT) * SPREAD
 
 
+def profiles(sums: pd.DataFrame, more: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Smoothed log shares of the buckets by speaker, of sums and of ``more`` counts."""
+    counts = {w: n + SMOOTH for w, n in more.items()}
+    for who, w in sums[sums["bucket"] < BUCKETS].groupby("speaker"):
+        counts.setdefault(int(who), np.full(BUCKETS, SMOOTH))[w["bucket"].to_numpy()] += w["n"].to_numpy()
+    return {w: np.round(np.log(n / n.sum()) * UNIT).astype(np.int64) * SPREAD for w, n in counts.items()}
+
+
 def learnt(segs: DataFrame) -> dict[int, Model]:
     """The model of each show from all segments that name exactly one speaker.
 
-    At most (rows of the bank) x (BUCKETS + 1) sums reach the driver, however many lines there are.
+    At most (rows of the bank) x (2 BUCKETS + 1) sums, and of each partition two names and the words ahead of the first, reach the driver, however many lines there are.
     """
-    told = segs.filter(F.col("who") <= COUNTS).filter("show is not null").select("show", "who", F.get("cands", 0).alias("speaker"), F.posexplode(F.arrays_zip("cands", "errors")).alias("at", "p"))
-    bucket = F.when((F.col("who") == COUNTS) & (F.col("at") == 0), F.lit(BUCKETS)).otherwise(F.col("p.cands"))
-    sums = told.groupBy("show", "who", F.when(F.col("who") == COUNTS, F.col("speaker")).otherwise(F.lit(0)).alias("speaker"), bucket.alias("bucket")).agg(F.sum("p.errors").alias("n")).toPandas()
+    ends = segs.filter(F.col("who").isin(ENDS, AHEAD)).select("part", "episode_id", "show", "who", "cands", "errors").collect()
+    crossed: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    carried: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, dtype=np.int64))
+    before: tuple[int | None, int, int] | None = None
+    for r in sorted(ends, key=lambda r: (r.part, r.who != AHEAD, r.who == ENDS and r.cands[0])):
+        here = before is not None and before[:2] == (r.episode_id, r.show) and before[2] >= 0
+        if r.who == AHEAD:
+            if here:
+                np.add.at(carried[r.show, before[2]], r.cands, r.errors)
+        elif r.cands[0] == 0:
+            if here and r.cands[1] >= 0:
+                crossed[r.show][before[2] != r.cands[1]] += 1
+        else:
+            before = (r.episode_id, r.show, r.cands[1])
+    told = segs.filter(F.col("who").isin(COUNTS, BEHIND, CHANGES)).filter("show is not null").select("show", "who", F.get("cands", 0).alias("speaker"), F.posexplode(F.arrays_zip("cands", "errors")).alias("at", "p"))
+    bucket = F.when((F.col("who") != CHANGES) & (F.col("at") == 0), F.lit(BUCKETS)).otherwise(F.col("p.cands"))
+    sums = told.groupBy("show", "who", F.when(F.col("who") != CHANGES, F.col("speaker")).otherwise(F.lit(0)).alias("speaker"), bucket.alias("bucket")).agg(F.sum("p.errors").alias("n")).toPandas()
     out: dict[int, Model] = {}
     for show, g in sums.groupby("show"):
         moved = g[g["who"] == CHANGES].set_index("bucket")["n"].to_dict()
-        stays, changes = moved.get(0, 0), moved.get(1, 0)
+        stays, changes = (moved.get(x, 0) + crossed[show][x] for x in (0, 1))
         heard = g[g["who"] == COUNTS]
         lines = heard[heard["bucket"] == BUCKETS].set_index("speaker")["n"].to_dict()
         total = sum(lines.values()) + len(lines) + 1
-        profile = {}
-        for who, w in heard[heard["bucket"] < BUCKETS].groupby("speaker"):
-            n = np.full(BUCKETS, SMOOTH)
-            n[w["bucket"].to_numpy()] += w["n"].to_numpy()
-            profile[int(who)] = np.round(np.log(n / n.sum()) * UNIT).astype(np.int64) * SPREAD
+        unnamed = {w: n for (x, w), n in carried.items() if x == show}
+        profile = profiles(heard, {})
+        behind = profiles(g[g["who"] == BEHIND], unnamed)
         share = {int(w): whole((n + 1) / total) for w, n in lines.items()}
-        out[int(show)] = Model(profile, share, whole((stays + 1) / (stays + changes + 2)), whole((changes + 1) / (stays + changes + 2)), whole(1 / BUCKETS), whole(1 / total))
+        out[int(show)] = Model(profile, behind, share, whole((stays + 1) / (stays + changes + 2)), whole((changes + 1) / (stays + changes + 2)), whole(1 / BUCKETS), whole(1 / total))
     return out
 
 
-UNLEARNT = Model({}, {}, whole(0.5), whole(0.5), whole(1 / BUCKETS), whole(0.5))
+UNLEARNT = Model({}, {}, {}, whole(0.5), whole(0.5), whole(1 / BUCKETS), whole(0.5))
 
 
 class Named(NamedTuple):
@@ -403,8 +468,8 @@ class Named(NamedTuple):
     change: int
 
 
-#: Entering states that aren't among the first segment's: any other speaker, or nobody yet.
-OTHER, NOBODY_YET = -1, -2
+#: Entering states that aren't among the first segment's: any other speaker, or nobody yet. What holds for all of them, and words before the first name.
+OTHER, NOBODY_YET, SHARED, HEAD = -1, -2, -3, -4
 
 
 def step(scores: dict[int, int], n: Named) -> tuple[dict[int, int], dict[int, int]]:
@@ -448,41 +513,63 @@ def viterbi(stretch: list[Named], entry: int, leave: int | None) -> list[int]:
 class Edge(NamedTuple):
     """Score transfer over one episode's segments in a partition.
 
-    ``enter`` lists the first named segment's speakers; scores[class][speaker], for each of them, OTHER and NOBODY_YET as
-    entering class, are the best scores of the last named segment's speakers; ``through`` are speakers who, entering, talk on to the end. No scores if none is named.
+    ``base`` has a score for each entering class: the first named segment's speakers, OTHER and NOBODY_YET. To it comes
+    scores[class][speaker], the best of the last named segment's speakers; scores[SHARED] if a sure name lies between, as all classes then go on alike.
+    ``through`` are speakers who, entering, talk on to the end. ``head`` is what entering speakers emit (others nothing) before the first name. No base if none is named.
     """
 
     part: int
     episode: int | None
-    enter: list[int]
+    base: dict[int, int]
     scores: dict[int, dict[int, int]]
-    through: list[int]
+    through: set[int]
+    head: dict[int, int]
 
 
 class Transfer:
-    """Works out an :class:`Edge` segment by segment: a score table for each entering class, no segments."""
+    """Works out an :class:`Edge` segment by segment: a score table for each entering class up to the first sure name, one from there on; no segments."""
 
     def __init__(self) -> None:
-        self.enter: list[int] = []
+        self.base: dict[int, int] = {}
         self.scores: dict[int, dict[int, int]] = {}
-        self.on: dict[int, bool] = {}
+        self.on: set[int] = set()
+        self.head: dict[int, int] = {}
+        #: A segment whose name fits several, as long as words without a name may follow it.
+        self.open: Named | None = None
 
     def add(self, n: Named, last: int | None = None, same: bool = True) -> None:
         """A named segment, or a run of sure ones: ``n`` its first, ``last`` the code of its last, ``same`` whether all are one speaker."""
+        self._flush()
+        if len(n.codes) > 1:
+            self.open = n
+        else:
+            self._step(n, n.codes[0] if last is None else last, same)
+
+    def _flush(self) -> None:
+        if self.open is not None:
+            self._step(self.open, None, True)
+        self.open = None
+
+    def _step(self, n: Named, sure: int | None, same: bool) -> None:
         if not self.scores:
-            self.enter = list(n.codes)
-            self.scores = {c: {c: 0} for c in (*self.enter, OTHER, NOBODY_YET)}
-            self.on = dict.fromkeys(self.enter, True)
+            self.base = dict.fromkeys((*n.codes, OTHER, NOBODY_YET), 0)
+            self.scores = {c: {c: 0} for c in self.base}
+            self.on = set(n.codes)
+        on, shared = set(), SHARED in self.scores
         for c, now in self.scores.items():
-            new, back = step(now, n)
-            if c in self.on:
-                self.on[c] = self.on[c] and same and back.get(c) == c
-            if last is not None:
-                new = {last: new[n.codes[0]]}
-            self.scores[c] = new
+            self.scores[c], back = step(now, n)
+            on |= {x for x in (self.on if shared else self.on & {c}) if same and back.get(x) == x}
+        self.on = on
+        if sure is not None:
+            if shared:
+                self.scores = {SHARED: {sure: self.scores[SHARED][n.codes[0]]}}
+            else:
+                self.base = {c: self.scores[c][n.codes[0]] for c in self.base}
+                self.scores = {SHARED: {sure: 0}}
 
     def edge(self, part: int, episode: int | None) -> Edge:
-        return Edge(part, episode, self.enter, self.scores, [c for c, on in self.on.items() if on])
+        self._flush()
+        return Edge(part, episode, self.base, self.scores, self.on, self.head)
 
 
 def composed(edges: list[Edge]) -> dict[tuple[int, int | None], tuple[int, int | None, int]]:
@@ -499,16 +586,21 @@ def composed(edges: list[Edge]) -> dict[tuple[int, int | None], tuple[int, int |
             continue
         scores, backs = {NOBODY_YET: 0}, []
         for e in chain:
-            if not e.scores:
+            scores = {q: v + e.head.get(q, 0) for q, v in scores.items()}
+            if not e.base:
                 backs.append({q: q for q in scores})
                 continue
+            reached = {q: scores[q] + e.base[q if q in e.base else OTHER] for q in sorted(scores)}
+            if SHARED in e.scores:
+                # All go on alike from the sure name, so only the best of them counts.
+                q = max(reached, key=reached.__getitem__)
+                reached = {q: reached[q]}
             new: dict[int, int] = {}
             back: dict[int, int] = {}
-            for q in sorted(scores):
-                row = e.scores[q if q in e.scores else OTHER]
-                for s, v in row.items():
-                    if s not in new or scores[q] + v > new[s]:
-                        new[s], back[s] = scores[q] + v, q
+            for q, v in reached.items():
+                for s, x in e.scores[SHARED if SHARED in e.scores else q if q in e.base else OTHER].items():
+                    if s not in new or v + x > new[s]:
+                        new[s], back[s] = v + x, q
             scores = new
             backs.append(back)
         s = min(scores, key=lambda x: (-scores[x], x))
@@ -518,12 +610,24 @@ def composed(edges: list[Edge]) -> dict[tuple[int, int | None], tuple[int, int |
             s = back[s]
         origin = -1
         for e, (enter, leave) in zip(chain, reversed(ways), strict=True):
-            out[e.part, episode] = (enter, leave if e.scores else None, origin)
-            if not (enter == leave and (not e.scores or enter in e.through)) or origin < 0:
+            out[e.part, episode] = (enter, leave if e.base else None, origin)
+            if not (enter == leave and (not e.base or enter in e.through)) or origin < 0:
                 origin = e.part
     return out
 
 
+class Piece(NamedTuple):
+    """Columns of segments; ``codes`` are those of sure segments, -1 elsewhere."""
+
+    codes: np.ndarray
+    who: np.ndarray
+    show: np.ndarray
+    ids: np.ndarray
+    cands: np.ndarray
+    errors: np.ndarray
+    words: np.ndarray
+
+
 class Reader:
     """Turns batches of segments of one partition into pieces: the segments of one episode in it."""
 
@@ -532,7 +636,9 @@ class Reader:
         self.names = np.array([*names, None], dtype=object)
         code = {s: i for i, s in enumerate(names)}
         self.codes = {show: np.array([code[s] for s in sorted({s for s, _ in rows if s})], dtype=np.int64) for show, rows in bank.items()}
+        self.numbers = {show: {int(c): i for i, c in enumerate(codes)} for show, codes in self.codes.items()}
         self.models = models
+        self.profiles: dict[tuple[int, bool], np.ndarray] = {}
         shows = sorted(self.codes)
         self.shows = np.array(shows, dtype=np.int64)
         self.offset = np.cumsum([0, *[len(self.codes[x]) for x in shows]])
@@ -546,30 +652,48 @@ class Reader:
             out[at] = self.flat[self.offset[np.searchsorted(self.shows, show[at])] + who[at]]
         return out
 
-    def several(self, ident: int, show: int, cands, errors, words) -> Named:
-        m = self.models.get(int(show), UNLEARNT)
-        cands = [int(c) for c in cands]
-        codes = [int(self.codes[int(show)][c]) for c in cands]
-        words = [int(w) for w in words] if words is not None else []
-        emits = [m.emits(c, int(e), words) + zlib.crc32(f"{ident} {self.names[code]}".encode()) % SPREAD for c, e, code in zip(cands, errors, codes, strict=True)]
-        return Named(codes, emits, [m.begins(c) for c in cands], m.stay, m.change)
+    def said(self, show: int, words: np.ndarray | None, codes: list[int], named: bool) -> np.ndarray:
+        """What speakers emit by saying the words in a show, with a name or without; those it doesn't know are like ones never heard."""
+        m = self.models.get(show)
+        if m is None or words is None or not len(words):
+            return np.zeros(len(codes), dtype=np.int64)
+        if (show, named) not in self.profiles:
+            flat = np.full(BUCKETS, m.flat, dtype=np.int64)
+            of = m.profile if named else m.behind
+            self.profiles[show, named] = np.stack([*(of.get(i, flat) for i in range(len(self.codes[show]))), flat])
+        at = self.numbers[show]
+        return self.profiles[show, named][[at.get(c, -1) for c in codes]] @ np.bincount(words, minlength=BUCKETS)
+
+    def several(self, x: Piece, at: int) -> Named:
+        """A segment whose name fits several."""
+        show = int(x.show[at])
+        m = self.models.get(show, UNLEARNT)
+        cands = x.cands[at].tolist()
+        codes = self.codes[show][cands].tolist()
+        emits = self.said(show, x.words[at], codes, True) - round(ERROR_COST * UNIT) * SPREAD * x.errors[at].astype(np.int64)
+        ties = [zlib.crc32(f"{x.ids[at]} {self.names[c]}".encode()) % SPREAD for c in codes]
+        return Named(codes, [e + t for e, t in zip(emits.tolist(), ties, strict=True)], [m.begins(c) for c in cands], m.stay, m.change)
+
+    def goes_on(self, n: Named, x: Piece, at: int) -> None:
+        """Adds the words of a segment without a name to the one it continues."""
+        n.emits[:] = [e + v for e, v in zip(n.emits, self.said(int(x.show[at]), x.words[at], n.codes, False).tolist(), strict=True)]
+
+    def heads(self, head: dict[int, int], x: Piece, at: int) -> None:
+        """Adds the words of a segment without a name to what entering speakers emit: how much more than one never heard."""
+        show = int(x.show[at])
+        if show in self.models:
+            *known, flat = self.said(show, x.words[at], [*self.numbers[show], -1], False).tolist()
+            for c, v in zip(self.numbers[show], known, strict=True):
+                head[c] = head.get(c, 0) + v - flat
 
     def one(self, code: int, show: int) -> Named:
         m = self.models.get(int(show), UNLEARNT)
-        return Named([code], [0], [m.begins(int(np.searchsorted(self.codes[int(show)], code)))], m.stay, m.change)
-
+        return Named([code], [0], [m.begins(self.numbers[int(show)][code])], m.stay, m.change)
 
-    def rows(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes of sure segments, who, show) of a piece."""
+    def rows(self, pdf: pd.DataFrame) -> Piece:
         who = pdf["who"].to_numpy()
         show = pdf["show"].fillna(-1).to_numpy().astype(np.int64)
-        return self.sure(show, who), who, show
-
-    def named(self, pdf: pd.DataFrame, at: int, code: int, show: int) -> Named:
-        if code >= 0:
-            return self.one(code, show)
-        r = pdf.iloc[at]
-        return self.several(r["id"], show, r["cands"], r["errors"], r["words"])
+        return Piece(self.sure(show, who), who, show, *(pdf[c].to_numpy() for c in ("id", "cands", "errors", "words")))
 
 
 def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int | None, pd.DataFrame | None]]:
@@ -619,29 +743,42 @@ def edges(segs: DataFrame, bank: dict[int, list[tuple[str, str | None]]], models
         for part, episode, pdf in pieces(batches):
             if pdf is None:
                 e = t.edge(part, episode)
-                rows = [(part, episode, c, s, v, c in e.through) for c, row in e.scores.items() for s, v in row.items()] or [(part, episode, None, None, None, False)]
-                yield pd.DataFrame(rows, columns=["part", "episode_id", "enter", "leave", "score", "through"]).astype({"episode_id": "Int64", "enter": "Int64", "leave": "Int64", "score": "Int64"})
+                rows = [(part, episode, c, v, list(e.scores.get(c, {})), list(e.scores.get(c, {}).values()), c in e.through) for c, v in e.base.items()]
+                rows += [(part, episode, c, None, list(x), list(x.values()), False) for c, x in ((SHARED, e.scores.get(SHARED, {})), (HEAD, e.head))]
+                yield pd.DataFrame(rows, columns=["part", "episode_id", "enter", "base", "leave", "score", "through"]).astype({"episode_id": "Int64", "base": "Int64"})
                 t = Transfer()
                 continue
-            codes, who, show = reader.rows(pdf)
-            at = np.flatnonzero((codes >= 0) | (who == SEVERAL))
-            several = np.flatnonzero(codes[at] < 0)
+            x = reader.rows(pdf)
+            # Single ones are names that fit several and words without a name that count; between them are runs of sure names.
+            single = np.flatnonzero((x.who == SEVERAL) | (x.who == NONE) & pdf["words"].notna().to_numpy())
             lo = 0
-            for x in [*several, len(at)]:
-                if x > lo:
-                    run_ = codes[at[lo:x]]
-                    t.add(reader.one(int(run_[0]), int(show[at[lo]])), int(run_[-1]), bool((run_ == run_[0]).all()))
-                if x < len(at):
-                    t.add(reader.named(pdf, int(at[x]), -1, int(show[at[x]])))
-                lo = x + 1
+            for at in [*single, len(pdf)]:
+                run_ = lo + np.flatnonzero(x.codes[lo:at] >= 0)
+                if len(run_):
+                    codes = x.codes[run_]
+                    t.add(reader.one(int(codes[0]), int(x.show[run_[0]])), int(codes[-1]), bool((codes == codes[0]).all()))
+                if at < len(pdf):
+                    if x.who[at] == SEVERAL:
+                        t.add(reader.several(x, at))
+                    elif t.open is not None:
+                        reader.goes_on(t.open, x, at)
+                    elif not t.scores:
+                        reader.heads(t.head, x, at)
+                lo = at + 1
 
     found: dict[tuple[int, int | None], Edge] = {}
-    for r in segs.filter((F.col("who") > COUNTS) & _of(split)).drop("text").mapInPandas(run, "part int, episode_id bigint, enter bigint, leave bigint, score bigint, through boolean").collect():
-        e = found.setdefault((r.part, r.episode_id), Edge(r.part, r.episode_id, [], {}, []))
-        if r.enter is not None:
-            e.scores.setdefault(r.enter, {})[r.leave] = r.score
-            if r.through and r.enter not in e.through:
-                e.through.append(r.enter)
+    for r in segs.filter((F.col("who") > COUNTS) & _of(split)).drop("text").mapInPandas(run, "part int, episode_id bigint, enter bigint, base bigint, leave array<bigint>, score array<bigint>, through boolean").collect():
+        e = found.setdefault((r.part, r.episode_id), Edge(r.part, r.episode_id, {}, {}, set(), {}))
+        table = dict(zip(r.leave, r.score, strict=True))
+        if r.enter == HEAD:
+            e.head.update(table)
+            continue
+        if table:
+            e.scores[r.enter] = table
+        if r.enter != SHARED:
+            e.base[r.enter] = r.base
+        if r.through:
+            e.through.add(r.enter)
     return composed(list(found.values()))
 
 
@@ -704,23 +841,29 @@ def decoded(segs: DataFrame, bank: dict[int, list[tuple[str, str | None]]], mode
         def decode(pdf: pd.DataFrame, whole_piece: bool) -> pd.DataFrame | None:
             """Feed the rows up to the last sure name (all of them at the end of an episode); the rest is given back."""
             nonlocal entry
-            codes, who, show = reader.rows(pdf)
-            named = np.flatnonzero((codes >= 0) | (who == SEVERAL))
+            x = reader.rows(pdf)
+            codes = x.codes
+            named = np.flatnonzero((codes >= 0) | (x.who == SEVERAL))
             rest = None
             if not whole_piece and len(named) and codes[named[-1]] < 0:
                 sure = named[codes[named] >= 0]
                 cut_at = int(sure[-1]) + 1 if len(sure) else 0
                 rest, pdf = pdf.iloc[cut_at:], pdf.iloc[:cut_at]
-                codes, who, show, named = codes[:cut_at], who[:cut_at], show[:cut_at], named[named < cut_at]
+                x = Piece(*(c[:cut_at] for c in x))
+                codes, named = x.codes, named[named < cut_at]
                 if not cut_at:
                     return rest
             several = np.flatnonzero(codes[named] < 0)
             for group in np.split(several, np.flatnonzero(np.diff(several) > 1) + 1) if len(several) else ():
                 before = int(codes[named[group[0] - 1]]) if group[0] else entry
-                stretch = [reader.named(pdf, int(named[g]), -1, int(show[named[g]])) for g in group]
+                stretch = []
+                for g in group:
+                    stretch.append(reader.several(x, int(named[g])))
+                    for behind in range(named[g] + 1, named[g + 1] if g + 1 < len(named) else len(codes)):
+                        reader.goes_on(stretch[-1], x, behind)
                 after = group[-1] + 1
                 if after < len(named):
-                    stretch.append(reader.one(int(codes[named[after]]), int(show[named[after]])))
+                    stretch.append(reader.one(int(codes[named[after]]), int(x.show[named[after]])))
                 path = viterbi(stretch, before, leave if after >= len(named) else None)
                 codes[named[group]] = path[: len(group)]
             at = np.maximum.accumulate(np.where(codes >= 0, np.arange(len(codes)), -1))

@@ -258,3 +258,111 @@ def test_a_line_of_no_show_or_another_amid_an_episode(spark, show):
             assert sorted(tuple(r)[:4] for r in T.turns(df, b).collect()) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+ABBEY = [("BROTHER EMBER", None), ("SISTER EMMER", None), ("PRIOR", None)]
+
+
+def abbey_rows():
+    """Both speakers have words of their own, and others in the unnamed lines that continue theirs."""
+    rows = []
+    for i in range(60):
+        who, named, unnamed = [("BROTHER EMBER", "bread ovens flour", "salt crusts"), ("SISTER EMMER", "herbs seeds gardens", "spades rain")][i // 2 % 2]
+        rows.append(line(i, float(i), who if i % 2 == 0 else None, named if i % 2 == 0 else unnamed))
+    return rows
+
+
+def test_a_misspelt_name_is_weighed_against_all_speakers_of_the_show(spark):
+    """A garbled name is 2 errors from one speaker and 5 from another, whose words may follow it; an exact name is its bearer's whatever is said."""
+    cast = T.Cast(ABBEY)
+    label = "SISTER EMBR"
+    who, errors = cast.meant(label)
+    assert set(who) == set(range(3)) and list(errors) == sorted(errors) and errors[1] - errors[0] > T.MARGIN
+    assert cast.speakers[who[0]] == "SISTER EMMER" and cast.speakers[who[1]] == "BROTHER EMBER"
+    for said, want in (("bread ovens flour " * 4, "BROTHER EMBER"), ("herbs seeds gardens " * 4, "SISTER EMMER"), ("Yes.", "SISTER EMMER")):
+        rows = [*abbey_rows(), line(100, 100.0, "PRIOR", "So."), line(101, 101.0, label, said), line(102, 102.0, "PRIOR", "So.")]
+        assert (1, 101, 101, want) in run(spark, rows, ABBEY, 4)
+    rows = [*abbey_rows(), line(100, 100.0, "PRIOR", "So."), line(101, 101.0, "SISTER EMMER", "bread ovens flour " * 20)]
+    assert (1, 101, 101, "SISTER EMMER") in run(spark, rows, ABBEY)
+
+
+def test_words_without_a_name_tell_who_was_named_before(spark):
+    bank = [("OLD OTTER", None), ("YOUNG OTTER", None), ("HERON", None)]
+    for unnamed, want in (("salt crusts", "OLD OTTER"), ("spades rain", "YOUNG OTTER")):
+        rows = [(*r[:6], {"BROTHER EMBER": "OLD OTTER", "SISTER EMMER": "YOUNG OTTER"}.get(r[6]), r[7]) for r in abbey_rows()]
+        rows += [line(100, 100.0, "HERON", "So."), line(101, 101.0, "Otter", "Yes.")]
+        rows += [line(102 + i, 102.0 + i, None, unnamed) for i in range(20)] + [line(200, 200.0, "HERON", "So.")]
+        for parts in (1, 13):
+            assert (1, 101, 121, want) in run(spark, rows, bank, parts)
+
+
+def test_what_is_learnt_does_not_depend_on_partitions(spark):
+    rows = [*twin_rows(), *[(*r[:6], "HERON" if r[6] else None, r[7]) for r in abbey_rows()]]
+    df = spark.createDataFrame([(*r, "speech", False, 0) for r in rows], LINES)
+    bank = T.read_bank(spark.createDataFrame([(1, s, a) for s, a in TWINS], "show_id int, speaker string, actor string"))
+    got = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            segs = T.parsed(df, bank, False)
+            assert segs.select("part").distinct().count() > parts // 2
+            (show, m), = T.learnt(segs).items()
+            got.append((show, {w: p.tolist() for w, p in m.profile.items()}, {w: p.tolist() for w, p in m.behind.items()}, m[2:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] == got[2] and got[0][2]
+
+
+def test_transfers_with_words_before_and_after_names():
+    """Words without a name count for the state that holds, over any cuts."""
+    rng = random.Random(9)
+    for _ in range(200):
+        stretch = random_named(rng, 6)
+        # Between the named ones stand words, which every speaker emits at another score.
+        words = [[{c: rng.randrange(-2000, 0) for c in range(4)} for _ in range(rng.randrange(3))] for _ in stretch]
+        items = [x for n, ws in zip(stretch, words, strict=True) for x in (n, *ws)]
+        cuts = sorted(rng.sample(range(1, len(items)), min(2, len(items) - 1)))
+        parts = [items[a:b] for a, b in zip([0, *cuts], [*cuts, len(items)], strict=True)]
+        whole = [n._replace(emits=[e + sum(w[c] for w in ws) for e, c in zip(n.emits, n.codes, strict=True)]) for n, ws in zip(stretch, words, strict=True)]
+        best = max(worth(p, whole, T.NOBODY_YET) for p in itertools.product(*[n.codes for n in whole]))
+        edges = []
+        for part, xs in enumerate(parts):
+            t = T.Transfer()
+            for x in xs:
+                if isinstance(x, T.Named):
+                    t.add(x._replace(emits=list(x.emits)))
+                elif t.open is not None:
+                    t.open.emits[:] = [e + x[c] for e, c in zip(t.open.emits, t.open.codes, strict=True)]
+                elif not t.scores:
+                    for c, v in x.items():
+                        t.head[c] = t.head.get(c, 0) + v
+            edges.append(t.edge(part, 7))
+        known = T.composed(edges)
+        path = []
+        for part, xs in enumerate(parts):
+            enter, leave, _ = known[part, 7]
+            assert enter == (path[-1] if path else T.NOBODY_YET)
+            inner, at = [], None
+            for x in xs:
+                if isinstance(x, T.Named):
+                    at = x._replace(emits=list(x.emits))
+                    inner.append(at)
+                elif at is not None:
+                    at.emits[:] = [e + x[c] for e, c in zip(at.emits, at.codes, strict=True)]
+            path += T.viterbi(inner, enter, leave) if inner else []
+        assert worth(path, whole, T.NOBODY_YET) == best
+
+
+def test_errors_of_the_whole_cast_are_exact():
+    rng = random.Random(3)
+    cast = T.Cast([*BANK, *TWINS, ("???", None), ("ÉMILE", "Zoë Quill")])
+    for _ in range(300):
+        k = "".join(rng.choices("aeglnorstuxé", k=rng.randrange(1, 14)))
+        want = {s: len(k) for s in range(len(cast.speakers))}
+        for s in want:
+            names = [n for n in cast.exact | cast.part if s in (cast.exact.get(n) or cast.part[n])]
+            want[s] = min((T.distance(k, n, 99) for n in names), default=len(k))
+        assert cast._errors(k) == want
